@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +122,11 @@ def unpack_table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-PACKED = "gid long, role int, n_docs long, n_words long, docs binary"
+PACKED = "gid long, role int, n_docs long, n_bytes long, docs binary"
 
 
-def packed_groups(docs: DataFrame, role: Callable[[list], list[int]] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text) as rows that hold groups of whole documents, written to the shared folder.
+def packed_groups(docs: DataFrame, role: Callable[[pa.Array], np.ndarray] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text, any others) as rows that hold groups of whole documents, written to the shared folder.
 
     Each task fills groups of about ``group_bytes`` from the rows that it reads, so no
     text is shuffled and no group grows with the input.  ``role`` maps doc_ids to small
@@ -133,43 +134,48 @@ def packed_groups(docs: DataFrame, role: Callable[[list], list[int]] | None = No
     table is written: later passes read them, they don't make them again.
     """
     arrow_batches(docs.sparkSession)
+    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 32, 0
-        held: dict[int, list] = {}
+        held: dict[int, tuple[list, list]] = {}
 
         def flush(kind: int) -> pa.RecordBatch:
             nonlocal made
-            _, n_words, ids, texts = held.pop(kind)
-            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-            row = [[base + made], [kind], [len(ids)], [n_words], [pack_table(table)]]
+            parts, sizes = held.pop(kind)
+            table = pa.Table.from_batches(parts)
+            row = [base + made, kind, table.num_rows, sum(sizes), pack_table(table)]
             made += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["gid", "role", "n_docs", "n_words", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["gid", "role", "n_docs", "n_bytes", "docs"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for kind, doc_id, text in zip(role(ids) if role else [0] * len(ids), ids, texts):
-                text = text or ""
-                group = held.setdefault(kind, [0, 0, [], []])
-                group[0] += len(text) + 64
-                group[1] += len(text.encode("utf-8", "surrogatepass").split())
-                group[2].append(doc_id)
-                group[3].append(text)
-                if group[0] >= group_bytes:
-                    yield flush(kind)
+            sizes = pc.fill_null(pc.binary_length(batch.column(at_text)), 0).to_numpy(zero_copy_only=False) + 64
+            kinds = role(batch.column(at_id)) if role else np.zeros(batch.num_rows, int)
+            for kind in np.unique(kinds).tolist():
+                rows = np.flatnonzero(kinds == kind)
+                part, start = batch.take(pa.array(rows)), 0
+                for i, size in enumerate(sizes[rows].tolist()):
+                    parts, total = held.setdefault(kind, ([], []))
+                    total.append(size)
+                    total[:] = [sum(total)]
+                    if total[0] >= group_bytes or i + 1 == len(rows):
+                        parts.append(part.slice(start, i + 1 - start))
+                        start = i + 1
+                        if total[0] >= group_bytes:
+                            yield flush(kind)
         for kind in list(held):
             yield flush(kind)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(run, PACKED), "groups")
+    return materialize(docs.mapInArrow(run, PACKED), "groups")
 
 
-def exchange_parts(n_keys: int) -> int:
-    """How many exchange partitions hold ``n_keys``: in proportion, so each stays bounded."""
-    return max(8, -(-n_keys // KEYS_PER_PART))
+def exchange_parts(groups: DataFrame) -> int:
+    """How many exchange partitions the keys of ``groups`` need: in proportion to their bytes, so each stays bounded."""
+    n_bytes = groups.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    return max(8, -(-n_bytes // (6 * KEYS_PER_PART)))
 
 
 def split_sorted(keys: np.ndarray, parts: int) -> np.ndarray:
