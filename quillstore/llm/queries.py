@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, packing, pii, quality, simhash, substring, token_counts, topk
+from . import bpe, html_text, lm, packing, pii, quality, simhash, substring, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk_segments, op2_byte_bpe, op3_substring_dedup, op4_simhash, op5_token_counts, op6_best_fit_packing, op8_pii, op9_lm_score, op10_quality_rules)
+    for f in (op1_topk_segments, op2_byte_bpe, op3_substring_dedup, op4_simhash, op5_token_counts, op6_best_fit_packing, op7_html_text, op8_pii, op9_lm_score, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
