@@ -154,8 +154,7 @@ class Rewriter:
                 out.append("(" + self.statement(")") + ")")
                 self.expect(")")
             else:
-                wanted = self.expression()
-                out.append(f"({wanted})" if False else wanted)
+                out.append(self.expression())
                 if clause == "SELECT" and self.peek()[0] in ("word", "quoted", "string") and self.word() not in CLAUSES and self.word() != until:
                     out.append("AS " + self.name())
         return " ".join(out)
@@ -170,7 +169,7 @@ class Rewriter:
         text = self.name()
         while self.accept("."):
             text += "." + self.name()
-        if self.peek()[0] in ("word", "quoted") and self.word() not in CLAUSES:
+        if self.accept("AS") or (self.peek()[0] in ("word", "quoted") and self.word() not in CLAUSES):
             text += " AS " + self.name()
         return text
 
