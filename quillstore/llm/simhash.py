@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component: its smallest doc_id; of rows with that id the first by text."""
     found = near_duplicates(docs, radius)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    kept = boxed.join(heads, F.col("id").eqNullSafe(F.col("head")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    return kept.withColumn("n", first).where("n = 1").select("row.*")
