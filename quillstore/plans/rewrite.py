@@ -119,6 +119,9 @@ class Rewriter:
                     out.append(f"LIMIT {self.expression()} OFFSET {first}")
                 else:
                     out.append(f"LIMIT {first}")
+            elif word in ("ROLLUP", "CUBE", "SETS") and self.word(1) == "(":
+                self.take()
+                out.append(f"{word} {self.grouping()}")
             elif word in ("LEFT", "RIGHT") and self.word(1) == "(":
                 out.append(self.expression())
             elif clause == "FROM" and self.peek()[0] in ("word", "quoted") and word not in CLAUSES:
@@ -159,6 +162,17 @@ class Rewriter:
                     out.append("AS " + self.name())
         return " ".join(out)
 
+    def grouping(self) -> str:
+        """A parenthesised list of expressions or of such lists."""
+        self.expect("(")
+        parts = []
+        while self.word() != ")":
+            parts.append(self.grouping() if self.word() == "(" else self.expression())
+            if not self.accept(","):
+                break
+        self.expect(")")
+        return "(" + ", ".join(parts) + ")"
+
     def name(self) -> str:
         kind, text = self.take()
         if kind == "string":

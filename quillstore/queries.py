@@ -1,0 +1,385 @@
+"""The registered queries of the engine's operators, each with its DuckDB SQL where SQL can express it.
+
+Queries run over whole tables.  Those given as MySQL text go through the rewriter, so
+they exercise the function library; the others build plans from the operators.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import install
+from .operators import families, mutate
+from .operators.keys import KeySet
+from .operators.scan import batch_get, count_rows, scan
+from .plans.rewrite import rewrite
+from .sources.files import table
+from .streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations", "embeddings")
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLE[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def mysql(name: str, text: str, oracle: str | None = None) -> None:
+    """A query in MySQL text; without its own SQL the text itself is the oracle's."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        install(spark)
+        for t in TABLES:
+            if t in text:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(rewrite(text))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE[name] = oracle or text
+
+
+# -- scans and keys -----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 600 AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100")
+def key_range_slice(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.range(100, 600), ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderstatus = 'O'", limit=100)
+
+
+@query("SELECT * FROM orders")
+def scan_all(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_orderkey"], ordered=False)
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 77")
+def point_get(spark, sf_dir):
+    return batch_get(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.of(77))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 5, 9, 200, 999999999)")
+def batch_point_get(spark, sf_dir):
+    return batch_get(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.of(1, 5, 9, 200, 999999999), ["o_orderkey", "o_orderstatus"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT unnest(range(0, 9000, 3)))")
+def batch_get_long_list(spark, sf_dir):
+    return batch_get(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.of(*range(0, 9000, 3)), ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 50 AND o_orderkey <= 90")
+def pk_range_open_closed(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.range(50, 90, False, True), ["o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_orderkey > 100 OR (l_orderkey = 100 AND l_linenumber >= 3)) AND (l_orderkey < 200 OR (l_orderkey = 200 AND l_linenumber < 2))")
+def composite_range(spark, sf_dir):
+    return scan(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], KeySet.range((100, 3), (200, 2)), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ordered=False)
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE user_id = 7")
+def key_prefix(spark, sf_dir):
+    return scan(table(spark, sf_dir, "events"), ["user_id", "ts"], KeySet.prefix(7), ["event_id", "user_id", "event_type"], ordered=False)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42 OR (o_custkey >= 100 AND o_custkey < 110)")
+def key_set_union(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_custkey"], KeySet.of(42) | KeySet.range(100, 110), ["o_orderkey", "o_custkey"], ordered=False)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_name = (SELECT max(c_name) FROM customer)")
+def unique_index_get(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    wanted = customer.agg(F.max("c_name").alias("c_name"))
+    return customer.join(F.broadcast(wanted), "c_name", "left_semi").select("c_custkey", "c_acctbal")  # one row
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def covered_index_range(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], KeySet.range(10, 20, end_closed=True), ["o_custkey", "o_orderkey"], ordered=False)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 50 OFFSET 10")
+def reverse_scan_limit_offset(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_orderkey"], None, ["o_orderkey", "o_totalprice"], reverse=True, limit=50, offset=10)
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")
+def count_filter(spark, sf_dir):
+    return count_rows(table(spark, sf_dir, "lineitem"), "l_quantity > 25")
+
+
+mysql("count_star", "SELECT count(*) AS n FROM lineitem")
+mysql("count_columns", "SELECT count(l_tax) AS n, count(DISTINCT l_suppkey) AS d, count(DISTINCT l_returnflag, l_linestatus) AS p FROM lineitem", "SELECT count(l_tax) AS n, count(DISTINCT l_suppkey) AS d, count(DISTINCT (l_returnflag, l_linestatus)) AS p FROM lineitem")
+mysql("residual_filter", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey < 500 AND l_quantity <> 10 AND NOT l_returnflag = 'A'")
+mysql("sort_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 20, 200", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 200 OFFSET 20")
+mysql("sort_nulls_first", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer ORDER BY seg, c_custkey LIMIT 100", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer ORDER BY seg NULLS FIRST, c_custkey LIMIT 100")
+mysql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+mysql("dual", "SELECT 1 + 1 AS two, 'x' AS x")
+mysql("derived_table", "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) AS t WHERE o_custkey < 500")
+
+# -- predicates ---------------------------------------------------------------------------
+
+mysql("like_predicates", "SELECT p_partkey FROM part WHERE p_name LIKE 'a%' OR p_name LIKE '%s_' OR p_type NOT LIKE '%A%'")
+mysql("in_predicates", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)")
+mysql("null_safe_equal", "SELECT count(*) AS n FROM customer WHERE nullif(c_mktsegment, 'BUILDING') <=> NULL", "SELECT count(*) AS n FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NOT DISTINCT FROM NULL")
+mysql("logic", "SELECT c_custkey FROM customer WHERE (c_nationkey > 10 XOR c_acctbal > 0) AND (c_nationkey OR c_acctbal < 0)", "SELECT c_custkey FROM customer WHERE (c_nationkey > 10) <> (c_acctbal > 0) AND (c_nationkey <> 0 OR c_acctbal < 0)")
+mysql("between_null_case", "SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 0 AND 1000 THEN 'low' WHEN c_acctbal IS NULL THEN 'none' ELSE 'other' END AS band FROM customer")
+mysql("regexp_predicate", "SELECT p_partkey FROM part WHERE p_name REGEXP '^[a-m].*e$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m].*e$')")
+mysql("truth_tests", "SELECT count(*) AS n FROM part WHERE (p_size > 10) IS TRUE AND (nullif(p_size, 20) > 15) IS NOT TRUE")
+mysql("collate_compare", "SELECT count(*) AS n FROM part WHERE p_type COLLATE utf8mb4_general_ci = 'economy'", "SELECT count(*) AS n FROM part WHERE lower(p_type) = 'economy'")
+
+# -- aggregates ---------------------------------------------------------------------------
+
+mysql(
+    "aggregates", "SELECT l_returnflag, sum(l_linenumber) AS s, avg(l_quantity) AS a, min(l_tax) AS lo, max(l_shipdate) AS hi, round(var_pop(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS s, avg(l_quantity) AS a, min(l_tax) AS lo, max(l_shipdate) AS hi, round(var_pop(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag",
+)
+mysql("bit_aggregates", "SELECT o_orderstatus, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, bit_xor(o_orderkey) AS x FROM orders GROUP BY o_orderstatus")
+mysql("bit_aggregates_empty", "SELECT bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, bit_xor(o_orderkey) AS x FROM orders WHERE o_orderkey < 0", "SELECT CAST(-1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS o, CAST(0 AS BIGINT) AS x")
+mysql("group_concat", "SELECT n_regionkey, group_concat(n_name ORDER BY n_name SEPARATOR ';') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+mysql("group_concat_distinct", "SELECT c_nationkey, group_concat(DISTINCT c_mktsegment) AS segs FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segs FROM customer GROUP BY c_nationkey")
+mysql("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+mysql("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+mysql("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+mysql("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+mysql(
+    "pricing_summary",
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n"
+    " FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+)
+
+
+@query()
+def json_objectagg(spark, sf_dir):
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("to_json(map_from_entries(collect_list(struct(n_name, n_nationkey))))").alias("nations"))
+
+
+@query()
+def approx_count_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+
+
+# -- windows ------------------------------------------------------------------------------
+
+_W = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+mysql(
+    "window_ranks",
+    "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS rk,"
+    " dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS q,"
+    " cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS cd, percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pr FROM orders",
+)
+mysql(
+    "window_values",
+    f"SELECT o_orderkey, lag(o_orderkey, 1) OVER {_W} AS prev, lead(o_orderkey, 2, -1) OVER {_W} AS nxt, first_value(o_orderkey) OVER {_W} AS fv,"
+    " last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv,"
+    f" nth_value(o_orderkey, 2) OVER {_W} AS nv FROM orders",
+)
+mysql(
+    "window_frames",
+    "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3,"
+    " max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM orders",
+)
+
+# -- joins and set operations -------------------------------------------------------------
+
+mysql("join_inner", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey INNER JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 1000")
+mysql("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey")
+mysql("join_semi", "SELECT d.doc_id FROM documents AS d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+mysql("join_anti", "SELECT d.doc_id FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id)")
+mysql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
+mysql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT n_regionkey AS k FROM nation")
+mysql("intersect_keys", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey AS k FROM customer")
+mysql("except_keys", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")
+
+# -- functions ----------------------------------------------------------------------------
+
+mysql(
+    "math_functions",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_tax - 0.05) AS ab, CAST(ceil(l_extendedprice) AS DOUBLE) AS ce, CAST(floor(l_extendedprice) AS DOUBLE) AS fl, round(l_extendedprice, 1) AS ro, sign(l_discount - 0.05) AS si,"
+    " sqrt(l_quantity) AS sq, ln(l_quantity) AS ln_q, log2(l_quantity) AS l2, log10(l_quantity) AS l10, exp(l_tax) AS ex, pow(l_quantity, 2) AS po, truncate(l_extendedprice, 0) AS tr, acos(l_quantity) AS ac FROM lineitem",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_tax - 0.05) AS ab, ceil(l_extendedprice) AS ce, floor(l_extendedprice) AS fl, round(l_extendedprice, 1) AS ro, CAST(sign(l_discount - 0.05) AS BIGINT) AS si,"
+    " sqrt(l_quantity) AS sq, ln(l_quantity) AS ln_q, log2(l_quantity) AS l2, log10(l_quantity) AS l10, exp(l_tax) AS ex, pow(l_quantity, 2) AS po, trunc(l_extendedprice) AS tr, CASE WHEN abs(l_quantity) <= 1 THEN acos(l_quantity) END AS ac FROM lineitem",
+)
+mysql(
+    "arithmetic",
+    "SELECT p_partkey, p_size + 1 AS a, p_size - 50 AS b, p_size * 3 AS c, CAST(p_size / nullif(p_size % 3, 5) AS DOUBLE) AS d, p_size DIV 7 AS e, p_size % 7 AS f, p_size MOD (p_size % 2) AS g, p_size DIV (p_size % 2) AS h, -p_size AS i FROM part",
+    "SELECT p_partkey, p_size + 1 AS a, p_size - 50 AS b, p_size * 3 AS c, CASE WHEN p_size % 3 <> 0 THEN p_size / (p_size % 3) END AS d, CAST(p_size // 7 AS BIGINT) AS e, p_size % 7 AS f,"
+    " CASE WHEN p_size % 2 <> 0 THEN p_size % (p_size % 2) END AS g, CAST(CASE WHEN p_size % 2 <> 0 THEN p_size // (p_size % 2) END AS BIGINT) AS h, -p_size AS i FROM part",
+)
+mysql(
+    "bit_operators",
+    "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, p_partkey ^ 5 AS x, p_partkey << 3 AS l, p_partkey >> 2 AS r, p_partkey << 64 AS z, bit_count(p_partkey) AS n FROM part",
+    "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, xor(p_partkey, CAST(5 AS BIGINT)) AS x, p_partkey << 3 AS l, p_partkey >> 2 AS r, CAST(0 AS BIGINT) AS z, CAST(bit_count(p_partkey) AS BIGINT) AS n FROM part",
+)
+mysql(
+    "common_functions",
+    "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS co, isnull(nullif(c_nationkey, 3)) AS isn, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, greatest(c_nationkey, NULL) AS gn,"
+    " interval(c_nationkey, 5, 10, 15) AS iv, if(c_acctbal > 0, 'pos', 'neg') AS sg, ifnull(nullif(c_nationkey, 4), -1) AS i FROM customer",
+    "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS co, CAST(nullif(c_nationkey, 3) IS NULL AS BIGINT) AS isn, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, CAST(NULL AS INTEGER) AS gn,"
+    " CAST((c_nationkey >= 5)::INT + (c_nationkey >= 10)::INT + (c_nationkey >= 15)::INT AS BIGINT) AS iv, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS sg, coalesce(nullif(c_nationkey, 4), -1) AS i FROM customer",
+)
+mysql(
+    "string_functions",
+    "SELECT p_partkey, concat(p_name, '-', p_brand) AS a, concat_ws('/', p_type, nullif(p_brand, 'Brand#1'), p_name) AS b, length(p_name) AS c, char_length(p_name) AS d, upper(p_name) AS e, left(p_name, 4) AS f, right(p_name, 3) AS g,"
+    " substring(p_name, 2, 5) AS h, substring(p_name, -3) AS i, substring(p_name, 0) AS j, locate('e', p_name) AS k, locate('e', p_name, 4) AS l, instr(p_name, 'a') AS m, replace(p_name, 'e', 'EE') AS n, reverse(p_name) AS o, lpad(p_name, 30, '*') AS p,"
+    " rpad(p_brand, 3, 'x') AS q, repeat(p_type, 2) AS r, trim(both 'a' from p_name) AS s, substring_index(p_name, ' ', 1) AS t, hex(p_type) AS u, strcmp(p_name, p_type) AS v, field(p_type, 'PROMO', 'SMALL') AS w, find_in_set(p_type, 'SMALL,PROMO,LARGE') AS x,"
+    " elt(p_size % 4, 'one', 'two', 'three') AS y, ascii(p_name) AS z FROM part",
+    "SELECT p_partkey, concat(p_name, '-', p_brand) AS a, concat_ws('/', p_type, nullif(p_brand, 'Brand#1'), p_name) AS b, CAST(strlen(p_name) AS BIGINT) AS c, CAST(length(p_name) AS BIGINT) AS d, upper(p_name) AS e, left(p_name, 4) AS f, right(p_name, 3) AS g,"
+    " substring(p_name, 2, 5) AS h, right(p_name, 3) AS i, '' AS j, CAST(instr(p_name, 'e') AS INTEGER) AS k, CAST(CASE WHEN instr(substring(p_name, 4), 'e') > 0 THEN instr(substring(p_name, 4), 'e') + 3 ELSE 0 END AS INTEGER) AS l, CAST(instr(p_name, 'a') AS INTEGER) AS m,"
+    " replace(p_name, 'e', 'EE') AS n, reverse(p_name) AS o, lpad(p_name, 30, '*') AS p, rpad(p_brand, 3, 'x') AS q, repeat(p_type, 2) AS r, trim(p_name, 'a') AS s, split_part(p_name, ' ', 1) AS t, upper(hex(encode(p_type))) AS u,"
+    " CASE WHEN p_name < p_type THEN -1 WHEN p_name > p_type THEN 1 ELSE 0 END AS v, CAST(coalesce(list_position(['PROMO', 'SMALL'], p_type), 0) AS BIGINT) AS w, CAST(coalesce(list_position(['SMALL', 'PROMO', 'LARGE'], p_type), 0) AS BIGINT) AS x,"
+    " CASE p_size % 4 WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' END AS y, CAST(ascii(p_name) AS BIGINT) AS z FROM part",
+)
+mysql("byte_and_character_lengths", "SELECT doc_id, octet_length(text) AS n_bytes, char_length(text) AS n_own, bit_length(text) AS n_bits FROM documents", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_own, CAST(strlen(text) * 8 AS BIGINT) AS n_bits FROM documents")
+mysql("url_parts", "SELECT page_id, substring_index(substring_index(url, '://', -1), '/', 1) AS host, locate('?', url) AS q FROM pages", "SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, CAST(instr(url, '?') AS INTEGER) AS q FROM pages")
+mysql(
+    "time_fields",
+    "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, dayofweek(ts) AS dw, weekday(ts) AS wd, dayofyear(ts) AS dy, quarter(ts) AS q, week(ts, 3) AS w, weekofyear(ts) AS w2, dayname(ts) AS dn, monthname(ts) AS mn,"
+    " to_days(ts) AS td, date_format(ts, '%Y/%m/%d %H:%i') AS f, extract(year_month from ts) AS ym, CAST(last_day(ts) AS CHAR) AS ld, unix_timestamp(ts) AS u FROM events",
+    "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS mo, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS BIGINT) AS s, CAST(dayofweek(ts) + 1 AS INTEGER) AS dw,"
+    " CAST(isodow(ts) - 1 AS INTEGER) AS wd, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, CAST(weekofyear(ts) AS INTEGER) AS w, CAST(weekofyear(ts) AS INTEGER) AS w2, dayname(ts) AS dn, monthname(ts) AS mn,"
+    " CAST(date_diff('day', DATE '1970-01-01', ts::DATE) + 719528 AS BIGINT) AS td, strftime(ts, '%Y/%m/%d %H:%M') AS f, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS ym, CAST(last_day(ts) AS VARCHAR) AS ld, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events",
+)
+mysql(
+    "time_arithmetic",
+    "SELECT o_orderkey, date_add(o_orderdate, interval 1 month) AS a, date_sub(o_orderdate, interval 10 day) AS b, o_orderdate + interval 90 minute AS c, datediff(o_orderdate, '1996-01-01') AS d, timestampdiff(month, '1995-01-01', o_orderdate) AS e,"
+    " date_format(from_days(to_days(o_orderdate)), '%Y-%m-%d') AS f, time_to_sec(o_orderdate) AS g, period_diff(extract(year_month from o_orderdate), 199501) AS h FROM orders",
+    "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS a, o_orderdate - INTERVAL 10 DAY AS b, o_orderdate + INTERVAL 90 MINUTE AS c, CAST(date_diff('day', DATE '1996-01-01', o_orderdate::DATE) AS INTEGER) AS d, CAST(datesub('month', TIMESTAMP '1995-01-01', o_orderdate) AS BIGINT) AS e,"
+    " strftime(o_orderdate, '%Y-%m-%d') AS f, CAST(hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS BIGINT) AS g, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS h FROM orders",
+)
+mysql(
+    "json_functions",
+    "SELECT event_id, json_extract(props, '$.k') AS k, CAST(json_extract(props, '$.k') AS SIGNED) + 1 AS k1, json_valid(props) AS v, json_length(props) AS n, json_type(props) AS t, json_extract(props, '$.none') AS z, json_contains_path(props, 'one', '$.k', '$.x') AS cp FROM events",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k1, CAST(json_valid(props) AS BIGINT) AS v, CAST(len(json_keys(props)) AS BIGINT) AS n, 'OBJECT' AS t, CAST(NULL AS VARCHAR) AS z, CAST(json_exists(props, '$.k') AS BIGINT) AS cp FROM events",
+)
+mysql("json_changes", "SELECT event_id, json_set(props, '$.k', user_id, '$.t', event_type) AS s, json_remove(props, '$.k') AS r FROM events", "SELECT event_id, '{\"k\": ' || user_id || ', \"t\": \"' || event_type || '\"}' AS s, '{}' AS r FROM events")
+mysql("digests", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha2(c_name, 256) AS s2 FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2 FROM customer")
+mysql("ciphers", "SELECT c_custkey, c_name = CAST(aes_decrypt(aes_encrypt(c_name, 'a key of any length'), 'a key of any length') AS CHAR) AS same_text, uncompressed_length(compress(c_name)) AS n FROM customer", "SELECT c_custkey, true AS same_text, CAST(strlen(c_name) AS BIGINT) AS n FROM customer")
+mysql("addresses", "SELECT p_partkey, inet_ntoa(p_partkey * 65537) AS a, inet_aton(inet_ntoa(p_partkey * 65537)) AS n, is_ipv4(inet_ntoa(p_partkey)) AS v4, is_ipv4(p_name) AS no FROM part",
+      "SELECT p_partkey, concat_ws('.', (p_partkey * 65537) >> 24 & 255, (p_partkey * 65537) >> 16 & 255, (p_partkey * 65537) >> 8 & 255, (p_partkey * 65537) & 255) AS a, p_partkey * 65537 AS n, CAST(1 AS BIGINT) AS v4, CAST(0 AS BIGINT) AS no FROM part")
+mysql("casts", "SELECT o_orderkey, CAST(o_totalprice AS SIGNED) AS i, CAST(o_orderkey AS CHAR) AS s, CAST(concat(o_orderkey, 'abc') AS SIGNED) AS prefix, CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) AS d, CAST(CAST(o_orderdate AS DATE) AS CHAR) AS day FROM orders",
+      "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(38, 6))) AS BIGINT) AS i, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey AS prefix, CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) AS d, CAST(o_orderdate::DATE AS VARCHAR) AS day FROM orders")
+
+# -- column families ----------------------------------------------------------------------
+
+
+def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as rows: stat has the sum of values, cnt the number of events, by event type."""
+    groups = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pk"), F.col("event_type").alias("qualifier")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    cells = F.array(
+        F.struct(F.lit("stat").alias("family"), F.lit(None).cast("bigint").alias("i"), F.col("s").alias("d")),
+        F.struct(F.lit("cnt").alias("family"), F.col("n").alias("i"), F.lit(None).cast("double").alias("d")),
+    )
+    return groups.select("pk", "qualifier", F.explode(cells).alias("c")).select("pk", "c.family", "qualifier", "c.i", "c.d", F.lit(None).cast("binary").alias("b"))
+
+
+def event_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.to_maps(event_cells(spark, sf_dir), ["pk"], ["stat", "cnt"])
+
+
+@query("SELECT user_id AS pk, event_type AS qualifier, count(*) AS n FROM events WHERE user_id IN (3, 5) AND event_type IN ('click', 'view') GROUP BY 1, 2")
+def sparse_read(spark, sf_dir):
+    found = families.sparse_read(event_maps(spark, sf_dir), ["pk"], [((3,), ["click", "view", "none"]), ((5,), ["click", "view"])], ["cnt"])
+    return found.select("pk", F.explode("cnt").alias("qualifier", "v")).select("pk", "qualifier", F.col("v.i").alias("n"))
+
+
+@query("SELECT user_id AS pk, count(*) AS n FROM events WHERE user_id >= 10 AND user_id < 60 AND event_type = 'error' GROUP BY 1")
+def sparse_scan(spark, sf_dir):
+    found = families.sparse_scan(event_maps(spark, sf_dir), ["pk"], KeySet.range(10, 60), ["cnt"], ["error"])
+    return found.select("pk", F.col("cnt")["error"]["i"].alias("n"))
+
+
+@query("SELECT user_id AS pk, event_type AS _qualifier, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
+def family_explode(spark, sf_dir):
+    return families.expand(event_maps(spark, sf_dir), "stat").select("pk", "_qualifier", F.round("_value.d", 4).alias("v"))
+
+
+@query("SELECT user_id AS pk, CAST(2 * count(DISTINCT event_type) AS INTEGER) AS n_cells FROM events GROUP BY 1")
+def row_cells(spark, sf_dir):
+    rows = families.row_cells(event_maps(spark, sf_dir), ["pk"], [], ["stat", "cnt"])
+    return rows.select("key.pk", F.size("cells").alias("n_cells"))
+
+
+@query("SELECT user_id AS pk, event_type AS qualifier, count(*) AS n FROM events WHERE NOT (user_id < 20 AND event_type = 'click') GROUP BY 1, 2")
+def delete_qualifier(spark, sf_dir):
+    left = mutate.delete_cells(event_maps(spark, sf_dir), ["pk"], KeySet.range(None, 20), "cnt", ["click"])
+    return left.select("pk", F.explode("cnt").alias("qualifier", "v")).select("pk", "qualifier", F.col("v.i").alias("n"))
+
+
+# -- writes -------------------------------------------------------------------------------
+
+_ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+@query(
+    f"SELECT {_ORDER} FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'X', o_totalprice + 1 FROM orders WHERE o_orderkey % 10 = 0"
+    " UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'X', NULL FROM orders WHERE o_orderkey % 100 = 0"
+)
+def upsert(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(*_ORDER.split(", "))
+    old = orders.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    new = orders.where("o_orderkey % 100 = 0").select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", F.lit("X").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"))
+    return mutate.upsert(orders, old.union(new), ["o_orderkey"])
+
+
+@query(f"SELECT {_ORDER} FROM orders UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, NULL FROM orders WHERE o_orderkey % 50 = 0")
+def insert_only(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(*_ORDER.split(", "))
+    picked = orders.where("o_orderkey % 50 = 0").drop("o_totalprice")
+    return mutate.insert_only(orders, picked.union(picked.withColumn("o_orderkey", F.col("o_orderkey") + 1000000000)), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (1, 2, 3) AND NOT (o_orderkey >= 100 AND o_orderkey < 5000)")
+def delete_keys_and_range(spark, sf_dir):
+    return mutate.delete_keys(table(spark, sf_dir, "orders"), ["o_orderkey"], KeySet.of(1, 2, 3) | KeySet.range(100, 5000)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey < 100 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_const(spark, sf_dir):
+    return mutate.update_where(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), {"o_orderstatus": "'Z'"}, "o_custkey < 100").drop("o_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def update_only(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    changes = customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal"))
+    return mutate.update_only(customer, changes.union(changes.withColumn("c_custkey", -F.col("c_custkey") - 1)), ["c_custkey"])
+
+
+# -- time windows and layout --------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    return windows.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], F.count("*").alias("n")).drop("window_end")
+
+
+@query(
+    "SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM"
+    " (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+)
+def session_counts(spark, sf_dir):
+    out = windows.session(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], F.count("*").alias("n"))
+    return out.select("user_id", F.col("window_start").alias("first_ts"), "n")
+
+
+@query()
+def split_ranges(spark, sf_dir):
+    dealt = table(spark, sf_dir, "orders").repartitionByRange(8, "o_orderkey").withColumn("region", F.spark_partition_id())
+    return dealt.groupBy("region").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_range_slice(spark, sf_dir)

@@ -215,3 +215,22 @@ def test_client(spark, store):
     assert "z" in client.read("d", "t", KeySet.all()).columns
     client.drop_table("d", "t")
     assert client.list_tables("d") == []
+
+
+def test_row_store(spark, store):
+    from quillstore.rows import CellMutation, RowStore
+
+    rows = RowStore(Client(spark, store), "d")
+    rows.create_table("h", ["f:", "g:"])
+    assert rows.get_table_names() == ["h"] and list(rows.get_column_descriptors("h")) == ["f:", "g:"]
+    rows.mutate_rows("h", [(b"r%d" % i, [CellMutation("f:a", b"v%d" % i), CellMutation("g:b", b"w")]) for i in range(5)])
+    rows.mutate_row("h", b"r1", [CellMutation("f:a", is_delete=True), CellMutation("f:c", b"new"), CellMutation("g:", is_delete=True)])
+    assert rows.get("h", b"r0", "f:a") == b"v0" and rows.get("h", b"r1", "f:a") is None
+    assert rows.get_row("h", b"r1").columns == {"f:c": b"new"} and rows.get_row("h", b"zz") is None
+    assert [r.row for r in rows.get_rows("h", [b"r3", b"no", b"r2"], ["g:"])] == [b"r3", b"r2"]
+    scanner = rows.scanner_open("h", b"r1", ["f:a"], b"r4")
+    assert [r.row for r in rows.scanner_get_list(scanner, 10)] == [b"r2", b"r3"]
+    rows.scanner_close(scanner)
+    with pytest.raises(StoreError):
+        rows.scanner_get(scanner)
+    assert len(rows.scanner_get_list(rows.scanner_open_with_prefix("h", b"r"), 99)) == 5
