@@ -1,6 +1,5 @@
 """Arithmetic, bits and mathematics; what the domain excludes is NULL."""
 
-from .compare import truth  # noqa: F401
 from .registry import define, same
 
 same("abs atan2 ceil ceiling cos cot degrees exp floor ln log2 log10 pi pow power radians sin tan", 0, 2)

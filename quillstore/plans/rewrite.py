@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions import REGISTRY, render
-from ..functions import info
-from ..functions.times import COMPOSITE, UNITS
+from ..functions import REGISTRY, info, render
 
 _TOKEN = re.compile(
     r"(?P<space>\s+|--[ \t][^\n]*|\#[^\n]*|/\*.*?\*/)"
@@ -526,9 +524,6 @@ SYSTEM_VARIABLES: dict[str, object] = {
     "tx_isolation": "REPEATABLE-READ", "character_set_client": "utf8mb4", "collation_connection": "utf8mb4_bin", "block_encryption_mode": "aes-128-ecb",
 }
 
-__all__ = ["COMPOSITE", "UNITS", "Rewriter", "SqlError", "rewrite", "rewrite_expression"]
-
-
 def rewrite(text: str) -> str:
     """A MySQL query as Spark SQL."""
     return Rewriter(text).statement()

@@ -272,6 +272,33 @@ mysql("addresses", "SELECT p_partkey, inet_ntoa(p_partkey * 65537) AS a, inet_at
 mysql("casts", "SELECT o_orderkey, CAST(o_totalprice AS SIGNED) AS i, CAST(o_orderkey AS CHAR) AS s, CAST(concat(o_orderkey, 'abc') AS SIGNED) AS prefix, CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) AS d, CAST(CAST(o_orderdate AS DATE) AS CHAR) AS day FROM orders",
       "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(38, 6))) AS BIGINT) AS i, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey AS prefix, CAST(CAST(o_totalprice AS DECIMAL(12, 1)) AS DOUBLE) AS d, CAST(o_orderdate::DATE AS VARCHAR) AS day FROM orders")
 
+mysql(
+    "number_texts",
+    "SELECT p_partkey, conv(p_partkey, 10, 16) AS h, bin(p_partkey) AS b, oct(p_partkey) AS o, format(p_retailprice, 2) AS f, to_base64(p_name) AS b64, CAST(from_base64(to_base64(p_name)) AS CHAR) AS back, insert(p_name, 2, 3, 'X') AS ins, make_set(p_size, 'a', 'b', 'c') AS ms,"
+    " export_set(p_size, 'Y', 'N', '', 3) AS es, quote(p_name) AS q, ord(p_name) AS od, CAST(unhex(hex(p_name)) AS CHAR) AS uh, char(65 + p_size % 26) AS ch, concat('[', space(p_size % 3), ']') AS sp, password(p_name) AS pw, crc32(p_name) % 1 AS z FROM part",
+    "SELECT p_partkey, printf('%X', p_partkey) AS h, bin(p_partkey) AS b, printf('%o', p_partkey) AS o, format('{:,.2f}', p_retailprice) AS f, to_base64(encode(p_name)) AS b64, p_name AS back, left(p_name, 1) || 'X' || substring(p_name, 5) AS ins,"
+    " concat_ws(',', CASE WHEN p_size & 1 > 0 THEN 'a' END, CASE WHEN p_size & 2 > 0 THEN 'b' END, CASE WHEN p_size & 4 > 0 THEN 'c' END) AS ms,"
+    " CASE WHEN p_size & 1 > 0 THEN 'Y' ELSE 'N' END || CASE WHEN p_size & 2 > 0 THEN 'Y' ELSE 'N' END || CASE WHEN p_size & 4 > 0 THEN 'Y' ELSE 'N' END AS es, '''' || p_name || '''' AS q, CAST(ord(p_name) AS BIGINT) AS od, p_name AS uh, chr(CAST(65 + p_size % 26 AS INTEGER)) AS ch,"
+    " '[' || repeat(' ', p_size % 3) || ']' AS sp, '*' || upper(sha1(unhex(sha1(p_name)))) AS pw, CAST(0 AS BIGINT) AS z FROM part",
+)
+mysql(
+    "week_modes",
+    "SELECT o_orderkey, week(o_orderdate) AS w0, week(o_orderdate, 3) AS w3, week(o_orderdate, 5) AS w5, yearweek(o_orderdate, 3) AS yw, date_format(o_orderdate, '%U|%v|%x|%j|%a') AS f FROM orders",
+    "SELECT o_orderkey, CAST(strftime(o_orderdate, '%U') AS BIGINT) AS w0, CAST(weekofyear(o_orderdate) AS BIGINT) AS w3, CAST(strftime(o_orderdate, '%W') AS BIGINT) AS w5, CAST(yearweek(o_orderdate) AS BIGINT) AS yw, strftime(o_orderdate, '%U|%V|%G|%j|%a') AS f FROM orders",
+)
+mysql(
+    "time_texts",
+    "SELECT event_id, date_format(ts, '%T') AS t, addtime(date_format(ts, '%T'), '01:30:00') AS a, substring_index(timediff(ts, '2024-01-01 00:00:00'), '.', 1) AS d, sec_to_time(user_id * 100) AS s, time_to_sec(date_format(ts, '%T')) AS n,"
+    " maketime(user_id % 24, 5, 6) AS m, str_to_date(date_format(ts, '%d.%m.%Y'), '%d.%m.%Y') = date(ts) AS same_day, time_format(date_format(ts, '%T'), '%h %p') AS h12, hour(sec_to_time(user_id * 1000)) AS hh FROM events",
+    "SELECT event_id, strftime(ts, '%H:%M:%S') AS t, printf('%02d:%02d:%02d', (x + 5400) // 3600, (x + 5400) // 60 % 60, x % 60) AS a, printf('%02d:%02d:%02d', e // 3600, e // 60 % 60, e % 60) AS d,"
+    " printf('%02d:%02d:%02d', user_id * 100 // 3600, user_id * 100 // 60 % 60, user_id * 100 % 60) AS s, x AS n, printf('%02d:05:06', user_id % 24) AS m, true AS same_day, strftime(ts, '%I %p') AS h12, CAST(user_id * 1000 // 3600 AS BIGINT) AS hh"
+    " FROM (SELECT *, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS x, CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) AS e FROM events)",
+)
+mysql("json_searches", "SELECT event_id, json_search(json_object('t', event_type, 'u', user_id), 'one', event_type) AS p, json_contains(json_array(user_id, 1000000), CAST(user_id AS CHAR)) AS c, json_depth(props) AS d, json_keys(props) AS k, json_merge(props, json_array(1)) AS m FROM events",
+      "SELECT event_id, '\"$.t\"' AS p, CAST(1 AS BIGINT) AS c, CAST(2 AS BIGINT) AS d, '[\"k\"]' AS k, '[' || props || ', 1]' AS m FROM events")
+mysql("six_byte_addresses", "SELECT p_partkey, inet6_ntoa(inet6_aton(inet_ntoa(p_partkey))) AS a, is_ipv6(concat('::', hex(p_partkey % 60000))) AS v6, is_ipv4_mapped(inet6_aton(concat('::ffff:', inet_ntoa(p_partkey)))) AS m FROM part",
+      "SELECT p_partkey, concat_ws('.', p_partkey >> 24 & 255, p_partkey >> 16 & 255, p_partkey >> 8 & 255, p_partkey & 255) AS a, CAST(1 AS BIGINT) AS v6, CAST(1 AS BIGINT) AS m FROM part")
+
 # -- column families ----------------------------------------------------------------------
 
 
