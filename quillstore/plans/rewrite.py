@@ -477,10 +477,13 @@ class Rewriter:
         out = aggregate_sql(name, args, distinct=distinct, order=order, separator=separator)
         if self.accept("OVER"):
             if self.word() != "(":
-                return f"{out} OVER {self.name()}"
-            self.expect("(")
-            out += " OVER (" + self.statement(")") + ")"
-            self.expect(")")
+                out += " OVER " + self.name()
+            else:
+                self.expect("(")
+                out += " OVER (" + self.statement(")") + ")"
+                self.expect(")")
+            if name in ("row_number", "rank", "dense_rank", "ntile"):
+                return f"CAST({out} AS BIGINT)"
         return out
 
 

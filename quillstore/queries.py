@@ -249,7 +249,7 @@ mysql(
     "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, dayofweek(ts) AS dw, weekday(ts) AS wd, dayofyear(ts) AS dy, quarter(ts) AS q, week(ts, 3) AS w, weekofyear(ts) AS w2, dayname(ts) AS dn, monthname(ts) AS mn,"
     " to_days(ts) AS td, date_format(ts, '%Y/%m/%d %H:%i') AS f, extract(year_month from ts) AS ym, CAST(last_day(ts) AS CHAR) AS ld, unix_timestamp(ts) AS u FROM events",
     "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS mo, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS BIGINT) AS s, CAST(dayofweek(ts) + 1 AS INTEGER) AS dw,"
-    " CAST(isodow(ts) - 1 AS INTEGER) AS wd, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, CAST(weekofyear(ts) AS INTEGER) AS w, CAST(weekofyear(ts) AS INTEGER) AS w2, dayname(ts) AS dn, monthname(ts) AS mn,"
+    " CAST(isodow(ts) - 1 AS INTEGER) AS wd, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, CAST(weekofyear(ts) AS BIGINT) AS w, CAST(weekofyear(ts) AS INTEGER) AS w2, dayname(ts) AS dn, monthname(ts) AS mn,"
     " CAST(date_diff('day', DATE '1970-01-01', ts::DATE) + 719528 AS BIGINT) AS td, strftime(ts, '%Y/%m/%d %H:%M') AS f, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS ym, CAST(last_day(ts) AS VARCHAR) AS ld, CAST(floor(epoch(ts)) AS BIGINT) AS u FROM events",
 )
 mysql(
@@ -257,7 +257,7 @@ mysql(
     "SELECT o_orderkey, date_add(o_orderdate, interval 1 month) AS a, date_sub(o_orderdate, interval 10 day) AS b, o_orderdate + interval 90 minute AS c, datediff(o_orderdate, '1996-01-01') AS d, timestampdiff(month, '1995-01-01', o_orderdate) AS e,"
     " date_format(from_days(to_days(o_orderdate)), '%Y-%m-%d') AS f, time_to_sec(o_orderdate) AS g, period_diff(extract(year_month from o_orderdate), 199501) AS h FROM orders",
     "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS a, o_orderdate - INTERVAL 10 DAY AS b, o_orderdate + INTERVAL 90 MINUTE AS c, CAST(date_diff('day', DATE '1996-01-01', o_orderdate::DATE) AS INTEGER) AS d, CAST(datesub('month', TIMESTAMP '1995-01-01', o_orderdate) AS BIGINT) AS e,"
-    " strftime(o_orderdate, '%Y-%m-%d') AS f, CAST(hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS BIGINT) AS g, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS h FROM orders",
+    " strftime(o_orderdate, '%Y-%m-%d') AS f, CAST(hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate) AS BIGINT) AS g, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS BIGINT) AS h FROM orders",
 )
 mysql(
     "json_functions",
