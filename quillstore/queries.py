@@ -385,6 +385,48 @@ def update_only(spark, sf_dir):
     return mutate.update_only(customer, changes.union(changes.withColumn("c_custkey", -F.col("c_custkey") - 1)), ["c_custkey"])
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42")
+def index_equality(spark, sf_dir):
+    return scan(table(spark, sf_dir, "orders"), ["o_custkey"], KeySet.of(42), ["o_orderkey", "o_custkey"], ordered=False)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01' ORDER BY o_orderdate, o_orderkey LIMIT 40")
+def index_range_ordered(spark, sf_dir):
+    import datetime
+
+    keys = KeySet.range(datetime.datetime(1996, 1, 1), datetime.datetime(1996, 2, 1))
+    return scan(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], keys, ["o_orderkey", "o_orderdate"], limit=40)
+
+
+@query("SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0")
+def replace_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return mutate.replace_rows(orders, orders.where("o_orderkey % 7 = 0").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)")
+def delete_where(spark, sf_dir):
+    return mutate.delete_where(table(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice > 1000").select("o_orderkey", "o_custkey")
+
+
+@query(
+    "SELECT user_id AS pk, event_type AS qualifier, CASE WHEN event_type = 'click' THEN CAST(-1 AS BIGINT) ELSE count(*) END AS n FROM events GROUP BY 1, 2"
+    " UNION ALL SELECT DISTINCT user_id, 'extra', CAST(7 AS BIGINT) FROM events WHERE user_id % 2 = 0"
+)
+def upsert_cells(spark, sf_dir):
+    cells = event_cells(spark, sf_dir).where("family = 'cnt'")
+    clicks = cells.where("qualifier = 'click'").withColumn("i", F.lit(-1).cast("bigint"))
+    extra = cells.where("pk % 2 = 0").select("pk").distinct().selectExpr("pk", "'cnt' AS family", "'extra' AS qualifier", "CAST(7 AS BIGINT) AS i", "CAST(NULL AS DOUBLE) AS d", "CAST(NULL AS BINARY) AS b")
+    out = mutate.upsert_cells(event_maps(spark, sf_dir), clicks.unionByName(extra), ["pk"], ["cnt"])
+    return out.select("pk", F.explode("cnt").alias("qualifier", "v")).select("pk", "qualifier", F.col("v.i").alias("n"))
+
+
+@query("SELECT DISTINCT user_id AS pk FROM events WHERE user_id < 30 AND event_type = 'purchase'")
+def cells_roundtrip(spark, sf_dir):
+    long = families.to_cells(event_maps(spark, sf_dir), ["pk"], ["stat", "cnt"])
+    return long.where("family = 'stat' AND qualifier = 'purchase' AND pk < 30").select("pk")
+
+
 # -- time windows and layout --------------------------------------------------------------
 
 
@@ -402,6 +444,14 @@ def session_counts(spark, sf_dir):
     return out.select("user_id", F.col("window_start").alias("first_ts"), "n")
 
 
+@query(
+    "SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2"
+)
+def sliding_counts(spark, sf_dir):
+    out = windows.sliding(table(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", ["event_type"], F.count("*").alias("n"))
+    return out.drop("window_end")
+
+
 @query()
 def split_ranges(spark, sf_dir):
     dealt = table(spark, sf_dir, "orders").repartitionByRange(8, "o_orderkey").withColumn("region", F.spark_partition_id())
