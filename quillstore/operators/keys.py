@@ -63,23 +63,26 @@ def equals(columns: Sequence[str], key: Key) -> Column:
     return reduce(Column.__and__, tests) if tests else F.lit(True)
 
 
-def _bound(columns: Sequence[str], key: Key, below: bool, closed: bool) -> Column:
-    """Keys above (``below`` false) or below a bound, in key order; NULL comes first.
+def _bound(columns: Sequence[str], key: Key, below: bool, closed: bool, nulls: bool = True) -> Column:
+    """Keys above (``below`` false) or below a bound, in key order; NULL comes first, unless ``nulls`` says there is none.
 
     Nested as first-column test and tie, so the implied range of the first column stands
     alone and reaches the scan.
     """
     column, value, rest = F.col(f"`{columns[0]}`"), key[0], key[1:]
-    strict = (column.isNull() if value is not None else F.lit(False)) | (column < F.lit(value)) if below and value is not None else F.lit(False) if below else column.isNotNull() if value is None else column > F.lit(value)
-    tie = column.isNull() if value is None else column == F.lit(value)
-    last = _bound(columns[1:], rest, below, closed) if rest else F.lit(closed)
-    if not rest and not closed:
-        return strict
-    whole = strict | (tie & last) if rest else strict | tie
     if value is None:
-        return whole
-    implied = (column.isNull() | (column <= F.lit(value))) if below else column >= F.lit(value)
-    return implied & whole if rest else whole
+        strict, tie, implied = F.lit(False) if below else column.isNotNull(), column.isNull(), F.lit(True)
+    elif below:
+        strict, tie, implied = column < F.lit(value), column == F.lit(value), column <= F.lit(value)
+        if nulls:
+            strict, implied = column.isNull() | strict, column.isNull() | implied
+    else:
+        strict, tie, implied = column > F.lit(value), column == F.lit(value), column >= F.lit(value)
+    if rest:
+        return implied & (strict | (tie & _bound(columns[1:], rest, below, closed)))
+    if not closed:
+        return strict
+    return strict | tie if value is None else implied
 
 
 def predicate(columns: Sequence[str], keys: KeySet) -> Column | None:
@@ -94,7 +97,7 @@ def predicate(columns: Sequence[str], keys: KeySet) -> Column | None:
     tests += [equals(columns, p) for p in keys.prefixes]
     for r in keys.ranges:
         parts = [_bound(columns, r.start, False, r.start_closed)] if r.start else []
-        parts += [_bound(columns, r.end, True, r.end_closed)] if r.end else []
+        parts += [_bound(columns, r.end, True, r.end_closed, not (r.start and r.start[0] is not None))] if r.end else []
         tests.append(reduce(Column.__and__, parts) if parts else F.lit(True))
     return reduce(Column.__or__, tests) if tests else F.lit(False)
 
