@@ -32,13 +32,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import CACHE_ENTRIES, Generations, arrow_batches
 
 #: Characters of text, and bytes of a pre-token, that a leaf holds at most.
 LEAF_CHARS, LEAF_BYTES = 4096, 48
 #: Characters of the pattern's longest literal alternative.
 LOOK_AHEAD = 3
-CACHE_ENTRIES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +54,7 @@ class ByteBpe:
         self.scan = regex.compile(pattern)
         self.leaf_chars, self.leaf_bytes = leaf_chars, leaf_bytes
         self._plain = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._pieces: dict[str, bytes] = _Pieces(self)
+        self._pieces = Generations(self._encode_piece)
         self._pairs: dict[tuple[int, int], bool] = {}
 
     # -- merges inside one pre-token ---------------------------------------------------
@@ -88,6 +87,9 @@ class ByteBpe:
         middle = len(piece) // 2
         return self._join_tokens(self._tokens(piece[:middle]), self._tokens(piece[middle:]))
 
+    def _encode_piece(self, piece: str) -> bytes:
+        return np.array(self._tokens(piece.encode("utf-8", "replace")), "<u4").tobytes()
+
     # -- pre-tokens --------------------------------------------------------------------
 
     def _join(self, left: list[str], right: list[str]) -> list[str]:
@@ -143,22 +145,6 @@ class ByteBpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-class _Pieces(dict):
-    """pre-token -> its ids as bytes; bounded by entries, and without long pre-tokens."""
-
-    def __init__(self, owner: ByteBpe):
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
-        value = np.array(self.owner._tokens(data), "<u4").tobytes()
-        if len(data) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = value
-        return value
-
-
 _LOADED: dict[tuple, ByteBpe] = {}
 
 

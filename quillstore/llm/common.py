@@ -7,6 +7,8 @@ handled as UTF-8 bytes.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 8 << 20
 #: Keys that one exchange partition holds on average.
 KEYS_PER_PART = 1_000_000
-#: Entries after which a worker's word cache starts anew.
-CACHE_ENTRIES = 250_000
+#: Entries of one generation of a worker's word cache.
+CACHE_ENTRIES = 120_000
 
 _ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -48,7 +50,12 @@ def scratch_root(spark: SparkSession) -> str:
         if app not in _OWN_ROOT:
             master = spark.sparkContext.master
             one_machine = master.startswith("local") and "cluster" not in master
-            _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="quill-scratch-") if one_machine else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if one_machine:
+                own = tempfile.mkdtemp(prefix="quill-scratch-")
+                atexit.register(shutil.rmtree, own, ignore_errors=True)
+                _OWN_ROOT[app] = "file://" + own
+            else:
+                _OWN_ROOT[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         root = _OWN_ROOT[app]
     return root.rstrip("/")
 
@@ -66,17 +73,31 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-class HashCache(dict):
-    """word -> 64-bit hash; bounded, so it may be asked for any number of words."""
+class Generations(dict):
+    """key -> ``make(key)``, remembered within bounds.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+    Two generations of ``entries`` each: a full one becomes the old one, and what is
+    asked for again moves to the new one, so frequent keys stay.  Long keys are made
+    each time.
+    """
+
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES, longest: int = 64):
+        self._make, self._entries, self._longest, self._old = make, entries, longest, {}
+
+    def __missing__(self, key):
+        value = self._old.pop(key, None)
+        if value is None:
+            value = self._make(key)
+            if len(key) > self._longest:
+                return value
+        if len(self) >= self._entries:
+            self._old = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        self[key] = value
         return value
 
 
-_HASHES = HashCache()
+_HASHES = Generations(lambda word: xxhash.xxh64_intdigest(word, 7))
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

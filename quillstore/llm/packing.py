@@ -17,6 +17,7 @@ repeated rows are packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,29 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
-from .token_counts import CACHE_ENTRIES, WordBpe, chunks_of
+from .common import Generations, arrow_batches, materialize
+from .token_counts import CHUNKS, WordBpe, chunks_of
 
 #: Pieces that one rank bucket holds on average.
 RANK_BUCKET = 200_000
 
 
-class WordIds(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers."""
+class WordIds:
+    """Texts to ids as little-endian unsigned 32-bit integers, by way of chunks and pre-tokens met before."""
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
+        self._chunks = Generations(self._encode, CHUNKS)
 
-    def __missing__(self, chunk: str) -> bytes:
-        value = np.array(self.bpe.chunk_ids(chunk), "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = value
-        return value
+    def _encode(self, chunk: str) -> bytes:
+        pieces = self.bpe.pre_tokens(chunk)
+        if pieces is None:
+            return struct_of(self.bpe.library.encode(chunk, add_special_tokens=False).ids)
+        if pieces == [chunk]:
+            return struct_of(self.bpe.merge(chunk))
+        return b"".join(map(self._chunks.__getitem__, pieces))  # a pre-token is a chunk of itself
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, chunks_of(text)))
+        return b"".join(map(self._chunks.__getitem__, chunks_of(text)))
+
+
+def struct_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import Generations, arrow_batches
 
-CACHE_ENTRIES = 200_000
+#: Entries of one generation of the cache of chunks (some 200 bytes each).
+CHUNKS = 250_000
 #: White space for str.split() but not for the tokenizers' patterns; all other kinds agree.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -57,6 +58,8 @@ class WordBpe:
 
     def pre_tokens(self, chunk: str) -> list[str] | None:
         """The normalised pre-tokens of ``chunk``, or None where only the library will do."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         if not self.PLAIN.fullmatch(chunk) or ("<" in chunk and any(s in chunk for s in self.specials)):
             return None
         low = chunk.lower()
@@ -67,19 +70,14 @@ class WordBpe:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
         return [token.id for token in self._merge(mapped)]
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        pieces = self.pre_tokens(chunk)
-        if pieces is None:
-            return self.library.encode(chunk, add_special_tokens=False).ids
-        return [i for piece in pieces for i in self.merge(piece)]
-
 
-class WordCounter(dict):
-    """chunk -> number of tokens, for a tokenizers file."""
+class WordCounter:
+    """Counts for a tokenizers file."""
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
         self.shortcut = self._whole_tokens()
+        self._chunks = Generations(self._count, CHUNKS)
 
     def _whole_tokens(self) -> frozenset[str]:
         """The vocabulary's words that the library encodes alone as one token, each a single pre-token."""
@@ -91,22 +89,18 @@ class WordCounter(dict):
             found += [w for w, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False)) if len(e.ids) == 1]
         return frozenset(found)
 
-    def __missing__(self, chunk: str) -> int:
+    def _count(self, chunk: str) -> int:
         if chunk in self.shortcut:
             return 1
         pieces = self.bpe.pre_tokens(chunk)
         if pieces is None:
-            value = len(self.bpe.library.encode(chunk, add_special_tokens=False).ids)
-        else:
-            value = sum(1 if piece in self.shortcut else len(self.bpe.merge(piece)) for piece in pieces)
-        if len(chunk) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = value
-        return value
+            return len(self.bpe.library.encode(chunk, add_special_tokens=False).ids)
+        if pieces == [chunk]:
+            return len(self.bpe.merge(chunk))
+        return sum(map(self._chunks.__getitem__, pieces))  # a pre-token is a chunk of itself
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, chunks_of(text)))
+        return sum(map(self._chunks.__getitem__, chunks_of(text)))
 
 
 class PieceCounter:
