@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one packed group holds (a longer text is a group of its own).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Keys that one exchange partition holds on average.
 KEYS_PER_PART = 1_000_000
 #: Entries of one generation of a worker's word cache.
