@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, words_of
@@ -60,16 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row of ``docs``."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the text columns ``keys`` of each row of ``docs``."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long, fp long", *(f"{k} string" for k in keys)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys).mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -158,22 +159,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = (now["n"], now["s"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
-    prints = materialize(fingerprints(docs), "fingerprints")
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp"), radius))
     classes = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = classes.join(heads, "root").select("fp", "component_id")
+    return classes.join(heads, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
+    prints = materialize(fingerprints(docs), "fingerprints")
+    labelled = _classes(prints, radius).select("fp", "component_id")
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component: its smallest doc_id; of rows with that id the first by text."""
-    found = near_duplicates(docs, radius)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    kept = boxed.join(heads, F.col("id").eqNullSafe(F.col("head")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
-    return kept.withColumn("n", first).where("n = 1").select("row.*")
+    """Just one row of ``docs`` for each component: its smallest doc_id, null after all others; of those rows the first by text.
+
+    Rows are told apart by a 128-bit key of doc_id and text, so a component has its row
+    whatever its doc_ids are.  Equal keys are merged before any join, so no group of
+    rows without ids meets in one task.  Texts are compared only where rows tie.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(" "), text), F.lit(""))))
+    prints = materialize(fingerprints(docs.withColumn("__key", key), "__key"), "fingerprints")
+    labelled = prints.join(_classes(prints, radius), "fp")
+    heads = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", F.col("__key").alias("key")).distinct()
+    heads = materialize(heads, "heads")
+    tied = heads.join(heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root")
+    if not tied.isEmpty():
+        texts = docs.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.min("text").alias("text"))
+        first = tied.join(texts, "key").groupBy("root").agg(F.min(F.struct("text", "key")).alias("least"))
+        heads = heads.join(first, "root", "left").where("least IS NULL OR least.key = key")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return boxed.groupBy("key").agg(F.first("row").alias("row")).join(heads.select("key"), "key", "left_semi").select("row.*")

@@ -174,6 +174,24 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    alike = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))
+    a, b, c, d, e, f = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(40)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (5, alike), (7, alike + " more"), (None, alike), (None, None), (None, ""), (9, f), (9, f)]
+    rows = [(i, t, n) for n, (i, t) in enumerate(rows)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, __key int").repartition(3)
+    classes = reachable({slow_fingerprint(t) for _, t, _ in rows})
+    first = {}
+    for i, t, _ in rows:
+        group = min(classes[slow_fingerprint(t)])
+        first[group] = min(first.get(group, (True, 0, "~")), (i is None, i or 0, t or ""))
+    assert len(first) == 8
+    kept = simhash.one_of_each(given)
+    assert kept.columns == given.columns
+    assert Counter((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == Counter(first.values())
+
+
 def test_masks_cover_every_pair_within_the_radius():
     rng, masks = random.Random(3), simhash.masks()
     assert len(masks) == 31
