@@ -49,7 +49,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+#: Characters of an IBAN by country; another country's may end at any space.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -110,10 +121,20 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for match in _IBAN.finditer(text):
-        found = match.group().replace(" ", "")
-        if 15 <= len(found) <= 34 and mod97(found):
-            yield match.span()
+    """The country gives the length, else the longest reading that passes counts; what follows a failed one is read anew."""
+    match = _IBAN.search(text)
+    while match:
+        start, at = match.start(), match.start() + 1
+        length = IBAN_LENGTH.get(text[start : start + 2])
+        for end in reversed([m.end() for m in _IBAN_END.finditer(text, start + 4, match.end())]):
+            found = text[start:end].replace(" ", "")
+            if not 15 <= len(found) <= 34 or text[end : end + 1].isalnum() and text[end : end + 1].isascii():
+                continue
+            if length in (None, len(found)) and mod97(found):
+                yield start, end
+                at = end
+                break
+        match = _IBAN.search(text, at)
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int]]:

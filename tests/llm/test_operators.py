@@ -311,6 +311,21 @@ def test_pii_spans():
     assert pii.redact("write to a.b@c.org or +1 (555) 123-4567!") == "write to [EMAIL] or [PHONE]!"
 
 
+def test_pii_ibans_beside_other_words():
+    def ibans(text):
+        return [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert ibans(f"IBAN {de} BIC COBADEFFXXX") == [de]
+    assert ibans("DE89370400440532013000 12 May") == ["DE89370400440532013000"]
+    assert ibans(f"{de} {gb} OK") == [de, gb]
+    assert ibans(f"AB12 ROOM {de} A") == [de]
+    assert ibans(f"{de}x") == ibans(f"x{de}") == ibans("DE88 3704 0044 0532 0130 00 BIC") == []
+    tail = 98 - int("".join(str(int(c, 36)) for c in "12345678901234567XX00")) % 97
+    assert ibans(f"XX{tail:02d} 1234 5678 9012 3456 7 AND MORE") == [f"XX{tail:02d} 1234 5678 9012 3456 7"]  # no country of that name
+    assert pii.redact(f"pay {de} BIC") == "pay [IBAN] BIC"
+
+
 def test_pii_is_linear_in_long_runs():
     pii.find_spans("a" * 300_000 + "1" * 300_000 + "." * 100_000 + "1.1" * 100_000)
 
