@@ -1,17 +1,16 @@
-"""Removal of word passages that an earlier document holds, by De Bruijn compaction.
+"""Removal of word passages that an earlier document holds, by an exchange of windows.
 
-The edges of the graph are windows of ``K`` words (between nodes of K - 1 words), as
-64-bit hashes.  Each packed group of documents sends its distinct edges with their
+The exchange replaces De Bruijn compaction: there are no nodes, no branching test and no
+joins that compact paths.  An edge is a window of ``K`` words as a 64-bit hash.  Each packed group of documents sends its distinct edges with their
 first place (doc_id, word) to the exchange partition of their key range; there equal
 edges of all groups meet, and each group gets back the places of those that an earlier
 document holds.  A very common passage is one edge of each group, however many
 documents hold it.
 
-In a document, neighbouring repeated edges whose source places also are neighbours are
-a nonbranching path; such paths are compacted to spans (start, end, source document,
-source word).  Where the source coordinates don't go on by one, the path ends: they
-show each long span to be the source's text, not a chance of single hashes.  Every word
-of a span is removed.
+Every word of a repeated edge is removed.  Once that is decided, neighbouring repeated
+edges of a document whose source places also are neighbours are reported as one span
+(start, end, source document, source word).  No text is compared with its source: an
+edge whose hash collides with an earlier one is removed, too.
 
 Defined results: words are judged on the input, not on what is left; a null or empty
 text has no words; equal doc_ids are one document, so repeated rows don't remove each
@@ -128,7 +127,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def compact(flags: np.ndarray, source_id: np.ndarray, source_at: np.ndarray, k: int = K) -> list[tuple[int, int, int, int]]:
-    """Paths of repeated edges as spans (start, end, source doc_id, source word)."""
+    """Runs of repeated edges as spans (start, end, source doc_id, source word)."""
     at = np.flatnonzero(flags)
     if not len(at):
         return []
