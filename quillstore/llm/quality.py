@@ -2,9 +2,11 @@
 
 Each rule rejects a document by a few measures of its text.  The cascade estimates, on
 a bounded sample, what each rule costs (seconds to run it alone) and which share it
-rejects, orders the rules by rejections per cost, and evaluates them in that order: a
-later rule is not evaluated once an earlier one rejects.  The verdict is the same in
-every order, so the sample decides speed, never results.
+rejects, orders the rules by rejections per cost, and evaluates them in that order.  In
+``keep_good`` (the pipeline's stage) a later rule's measures are not computed once an
+earlier rule rejects.  ``judge`` (op10) must give the measures of every row, so it
+computes them all and the order saves nothing there.  The verdict is the same in every
+order, so the sample decides speed, never results.
 
 Defined results: a null text is the empty text: no words, so it fails; repeated rows
 are judged each; other columns, whatever their names, are ignored or kept.
@@ -123,7 +125,10 @@ def verdict(rules: list[Rule] | tuple[Rule, ...]) -> str:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measures, base_failed and kept for each row of ``docs``; one pass without a shuffle."""
+    """doc_id, the measures, base_failed and kept for each row of ``docs``; one pass without a shuffle.
+
+    Every measure is computed for every row, whatever the order of the rules.
+    """
     ordered = order_rules(docs, rules)
     wanted = {"word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_words"} | {m for rule in rules for m in rule.measures}
     rows = with_measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted).select("doc_id", "__m.*")
