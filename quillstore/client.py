@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .operators import families as fam
 from .operators import mutate
-from .operators.keys import KeySet, restrict
-from .operators.scan import scan
-from .sources.store import Column, Index, Store, StoreError, TableMeta
+from .operators.keys import IN_LIST, KeySet, restrict
+from .operators.scan import covers, scan
+from .sources.store import Column, Conflict, Index, Store, StoreError, TableMeta
 from .streaming.reads import stream_cells, stream_rows
 
 
@@ -26,7 +26,8 @@ class Mutation:
     """kind: insert_or_update, insert, update, replace or delete.
 
     Writes give ``columns`` and ``rows`` (the key columns are among them).  In a flexible
-    ``family``, columns are qualifiers and each row is (key, values).  A delete gives
+    ``family``, columns are qualifiers and each row is (key, values); ``cells`` of (key,
+    family, qualifier, value) write any cells of flexible families at once.  A delete gives
     ``keys`` and takes whole rows, a family, or the qualifiers in ``columns``.
     """
 
@@ -35,32 +36,41 @@ class Mutation:
     rows: tuple[tuple, ...] = ()
     family: str = ""
     keys: KeySet = field(default_factory=KeySet)
+    cells: tuple[tuple, ...] = ()
 
 
 _WRITES = {"insert_or_update": mutate.upsert, "insert": mutate.insert_only, "update": mutate.update_only, "replace": mutate.replace_rows}
 
 
+#: How often a mutation is made again when another writer was faster.
+RETRIES = 5
+
+
 class Transaction:
-    """Reads see the tables as they were at its begin plus its own writes; commit publishes each table once."""
+    """Reads see each table as it was when first read plus the transaction's own writes.
+
+    Writes are layers that nothing refers to yet; commit publishes each changed table
+    once, and raises ``Conflict`` if another writer has published it in between.
+    """
 
     def __init__(self, client: Client):
         self.client, self.tables = client, {}
 
-    def table(self, database: str, name: str) -> tuple[TableMeta, DataFrame]:
+    def meta(self, database: str, name: str) -> TableMeta:
+        """A copy to write on; give it to ``keep`` once the write is whole."""
         at = (database.lower(), name.lower())
         if at not in self.tables:
-            meta = self.client.store.meta(*at)
-            self.tables[at] = [meta, self.client.store.data(meta), False]
-        return tuple(self.tables[at][:2])
+            self.tables[at] = self.client.store.meta(*at), False
+        return self.tables[at][0].copy()
 
-    def write(self, meta: TableMeta, df: DataFrame) -> None:
-        self.tables[meta.database, meta.name] = [meta, df, True]
+    def keep(self, meta: TableMeta) -> None:
+        self.tables[meta.database, meta.name] = meta, True
 
     def commit(self) -> None:
-        for meta, df, changed in self.tables.values():
+        tables, self.tables = self.tables, {}
+        for meta, changed in tables.values():
             if changed:
-                self.client.store.publish(meta, df)
-        self.tables = {}
+                self.client.store.commit(meta)
 
     def rollback(self) -> None:
         self.tables = {}
@@ -119,21 +129,35 @@ class Client:
     # -- reads -------------------------------------------------------------------------
 
     def _table(self, database: str, table: str, tx: Transaction | None) -> tuple[TableMeta, DataFrame]:
-        if tx is not None:
-            return tx.table(database, table)
-        meta = self.store.meta(database, table)
+        meta = tx.meta(database, table) if tx is not None else self.store.meta(database, table)
         return meta, self.store.data(meta)
 
     def read(
         self, database: str, table: str, keys: KeySet, columns: Sequence[str] = (), index: str | None = None, limit: int | None = None, reverse: bool = False, tx: Transaction | None = None
     ) -> DataFrame:
-        """Rows in ``keys`` of the primary key or an index, in its order; columns by name or family:name."""
+        """Rows in ``keys`` of the primary key or an index, in its order; columns by name or family:name.
+
+        By an index, its entries are read first; where they hold all that is asked for
+        they are the result, else the rows are fetched by primary key (a second read).
+        """
         meta, df = self._table(database, table, tx)
-        key = meta.index(index).columns if index else meta.primary_key
         wanted = [meta.column(c).name for c in columns] or [c.name for c in meta.columns]
-        order = [*key, *[k for k in meta.primary_key if k not in key]]
-        ranged = restrict(df, key, keys)
-        return scan(ranged, order, None, wanted, limit=limit, reverse=reverse)
+        if not index:
+            return scan(df, meta.primary_key, keys, wanted, limit=limit, reverse=reverse)
+        if not meta.primary_key:
+            raise StoreError(f"{meta.name} has no primary key to read rows by")
+        own = meta.index(index)
+        order = list(dict.fromkeys([*own.columns, *meta.primary_key]))
+        entries = restrict(self.store.entries(meta, own), own.columns, keys)
+        if covers(own.columns, meta.primary_key, wanted):
+            return scan(entries, order, None, wanted, limit=limit, reverse=reverse)
+        found = scan(entries, order, None, meta.primary_key, limit=limit, reverse=reverse, ordered=limit is not None)
+        head = found.limit(IN_LIST + 1).collect()  # a list that the second read can carry to the scan
+        if len(head) <= IN_LIST:
+            rows = restrict(df, meta.primary_key, KeySet(keys=tuple(tuple(r) for r in head)))
+        else:
+            rows = df.join(found, meta.primary_key, "left_semi")
+        return scan(rows, order, None, wanted, reverse=reverse)
 
     def read_cells(self, database: str, table: str, keys: KeySet, columns: Sequence[str] = (), limit: int | None = None, tx: Transaction | None = None) -> DataFrame:
         """(key, cells) of the rows in ``keys``: fixed columns, then flexible families."""
@@ -142,20 +166,22 @@ class Client:
         rows = scan(restrict(df, meta.primary_key, keys), meta.primary_key, limit=limit)
         return fam.row_cells(rows, meta.primary_key, fixed, [] if columns else meta.flexible)
 
-    def _families(self, meta: TableMeta, family: str) -> list[str]:
-        """The named flexible family, or all of them for an empty name."""
+    def _families(self, meta: TableMeta, family: str | Sequence[str]) -> list[str]:
+        """The named flexible families, or all of them for an empty name."""
         if not family:
             return meta.flexible
-        if family not in meta.flexible:
-            raise StoreError(f"{family} is no flexible family of {meta.name}")
-        return [family]
+        named = [family] if isinstance(family, str) else list(family)
+        for name in named:
+            if name not in meta.flexible:
+                raise StoreError(f"{name} is no flexible family of {meta.name}")
+        return named
 
-    def sparse_read(self, database: str, table: str, family: str, rows: Sequence[tuple[tuple, Sequence[str]]], limit: int | None = None, tx: Transaction | None = None) -> DataFrame:
+    def sparse_read(self, database: str, table: str, family: str | Sequence[str], rows: Sequence[tuple[tuple, Sequence[str]]], limit: int | None = None, tx: Transaction | None = None) -> DataFrame:
         meta, df = self._table(database, table, tx)
         return fam.sparse_read(df, meta.primary_key, rows, self._families(meta, family), limit)
 
     def sparse_scan(
-        self, database: str, table: str, family: str, keys: KeySet, qualifiers: Sequence[str] = (), limit: int | None = None, reverse: bool = False, tx: Transaction | None = None
+        self, database: str, table: str, family: str | Sequence[str], keys: KeySet, qualifiers: Sequence[str] = (), limit: int | None = None, reverse: bool = False, tx: Transaction | None = None
     ) -> DataFrame:
         meta, df = self._table(database, table, tx)
         return fam.sparse_scan(df, meta.primary_key, keys, self._families(meta, family), qualifiers, limit, reverse)
@@ -176,38 +202,57 @@ class Client:
 
     def mutate(self, database: str, table: str, mutations: Sequence[Mutation], tx: Transaction | None = None) -> None:
         """All mutations in order, then one published version (or none before the transaction's commit)."""
-        own = tx or self.begin()
-        meta, df = own.table(database, table)
-        for m in mutations:
-            df = self._apply(meta, df, m)
-        own.write(meta, df)
-        if tx is None:
-            own.commit()
-
-    def _apply(self, meta: TableMeta, df: DataFrame, m: Mutation) -> DataFrame:
-        key = meta.primary_key
+        for left in reversed(range(RETRIES)):
+            own = tx or self.begin()
+            meta = own.meta(database, table)
+            if not meta.primary_key:
+                raise StoreError(f"{meta.name} has no primary key to write by")
+            for m in mutations:
+                self._apply(meta, m)
+            own.keep(meta)
+            if tx is not None:
+                return
+            try:
+                return own.commit()
+            except Conflict:
+                if not left:
+                    raise
+
+    def _apply(self, meta: TableMeta, m: Mutation) -> None:
+        """A layer of the rows that the mutation touches, as they are after it."""
+        key, df = meta.primary_key, self.store.data(meta)
         if m.kind == "delete":
+            rows = restrict(df, key, m.keys)
             if m.family and m.family in meta.flexible:
-                return mutate.delete_cells(df, key, m.keys, m.family, m.columns)
-            if m.columns:
-                from .operators.keys import predicate
-
-                test = predicate(key, m.keys)
-                cleared = {meta.column(c).name for c in m.columns}
-                gone = lambda c, t: F.when(F.coalesce(test, F.lit(False)), None).otherwise(F.col(c)) if test is not None else F.lit(None).cast(t)
-                return df.select(*[gone(c, t).alias(c) if c in cleared else F.col(c) for c, t in df.dtypes])
-            return mutate.delete_keys(df, key, m.keys)
+                self.store.write(meta, mutate.delete_cells(rows, key, KeySet.all(), m.family, m.columns))
+            elif m.columns:
+                self.store.write(meta, mutate.clear_columns(rows, key, KeySet.all(), [meta.column(c).name for c in m.columns]))
+            else:
+                self.store.write(meta, gone=rows.select(*[F.col(f"`{k}`") for k in key]))
+            return
         types = {c.name: c.type for c in meta.columns}
-        if m.family and m.family in meta.flexible:
-            cells = [(*k, m.family, q, _cell(v), n) for n, (k, values) in enumerate(m.rows) for q, v in zip(m.columns, values)]
+        if m.cells or m.family in meta.flexible:
+            cells = [(*k, f, q, _cell(v), n) for n, (k, f, q, v) in enumerate(_cells_of(m))]
+            if any(f not in meta.flexible for _, f, _, _ in _cells_of(m)):
+                raise StoreError(f"a family of the mutation is no flexible family of {meta.name}")
             schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", family string, qualifier string, cell struct<i:bigint,d:double,b:binary>, q_order bigint"
-            return mutate.upsert_cells(df, self.spark.createDataFrame(cells, schema), key, [m.family], "q_order")
+            rows = restrict(df, key, KeySet(keys=tuple(tuple(c[: len(key)]) for c in cells)))
+            families = list(dict.fromkeys(f for _, f, _, _ in _cells_of(m)))
+            self.store.write(meta, mutate.upsert_cells(rows, self.spark.createDataFrame(cells, schema), key, families, "q_order"))
+            return
         if m.kind not in _WRITES:
             raise StoreError(f"unknown mutation {m.kind}")
         names = [meta.column(c).name for c in m.columns]
         schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", q_order bigint"
         changes = self.spark.createDataFrame([(*r, n) for n, r in enumerate(m.rows)], schema)
-        return _WRITES[m.kind](df, changes, key, "q_order")
+        at = [names.index(k) for k in key]
+        rows = restrict(df, key, KeySet(keys=tuple(tuple(r[i] for i in at) for r in m.rows)))
+        self.store.write(meta, _WRITES[m.kind](rows, changes, key, "q_order"))
+
+
+def _cells_of(m: Mutation) -> list[tuple[tuple, str, str, object]]:
+    """(key, family, qualifier, value) of each cell."""
+    return [*m.cells, *((key, m.family, column, value) for key, values in m.rows if m.family for column, value in zip(m.columns, values))]
 
 
 def _cell(value: object) -> tuple[int | None, float | None, bytes | None]:

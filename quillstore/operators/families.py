@@ -54,16 +54,20 @@ def pick(family: Column, qualifiers: Sequence[str] | None) -> Column:
 
 def sparse_read(rows: DataFrame, key: Sequence[str], wanted: Sequence[tuple[tuple, Sequence[str]]], families: Sequence[str], limit: int | None = None) -> DataFrame:
     """(key..., families) of the wanted keys, each with its own qualifiers (none: all of them); rows without a cell left go."""
-    from .keys import KeySet, restrict
+    from .keys import BROADCAST_KEYS, KeySet, plain, restrict
 
-    out = restrict(rows, key, KeySet(keys=tuple(k for k, _ in wanted)))
-    some = [(k, list(q)) for k, q in wanted if q]
+    asked: dict[tuple, set[str] | None] = {}  # a key asked for twice gets the qualifiers of both, or all
+    for k, q in ((plain(k), q) for k, q in wanted):
+        asked[k] = None if not q or asked.get(k, ()) is None else {*asked.get(k, ()), *q}
+    out = restrict(rows, key, KeySet(keys=tuple(asked)))
+    some = [(k, sorted(q)) for k, q in asked.items() if q]
     if some:
         spark = rows.sparkSession
         types = dict(rows.dtypes)
         schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", q_wanted array<string>"
         own = spark.createDataFrame([(*k, q) for k, q in some], schema)
-        out = out.join(F.broadcast(own), list(key), "left")  # as many rows as the request
+        own = F.broadcast(own) if len(some) <= BROADCAST_KEYS else own
+        out = out.join(own, list(key), "left")
         keep = lambda f: F.when(F.col("q_wanted").isNull(), F.col(f)).otherwise(F.map_filter(F.col(f), lambda q, _: F.array_contains("q_wanted", q)))
         out = out.select(*key, *[keep(f).alias(f) for f in families])
     return _with_cells(out.select(*key, *families), families, key, limit)

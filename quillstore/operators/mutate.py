@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import BROADCAST_KEYS, KeySet, predicate
+from .keys import KeySet, lower_bound, mark
 
 
 def last_of_each(changes: DataFrame, key: Sequence[str], order: str | None) -> DataFrame:
@@ -65,17 +65,21 @@ def delete_keys(table: DataFrame, key: Sequence[str], keys: KeySet) -> DataFrame
     """Without the rows in ``keys``; a row whose key is NULL where the test can't tell stays."""
     if keys.everything:
         return table.limit(0)
-    if len(keys.keys) > 1000 and not keys.ranges and not keys.prefixes:
-        gone = table.sparkSession.createDataFrame(list(dict.fromkeys(keys.keys)), table.select(*key).schema)
-        return table.join(F.broadcast(gone) if len(keys.keys) <= BROADCAST_KEYS else gone, list(key), "left_anti")
-    return table.where(~F.coalesce(predicate(key, keys), F.lit(False)))
+    marked, test, marks = mark(table, key, keys)
+    return marked.where(~test).drop(*marks)
 
 
 def delete_cells(table: DataFrame, key: Sequence[str], keys: KeySet, family: str, qualifiers: Sequence[str] | None = None) -> DataFrame:
     """The family, or some of its qualifiers, taken out of the rows in ``keys``."""
-    test = predicate(key, keys)
+    marked, test, marks = mark(table, key, keys)
     left = F.map_filter(F.col(family), lambda q, _: ~q.isin(*qualifiers)) if qualifiers else F.lit(None).cast(dict(table.dtypes)[family])
-    return table.withColumn(family, left if test is None else F.when(F.coalesce(test, F.lit(False)), left).otherwise(F.col(family)))
+    return marked.withColumn(family, F.when(test, left).otherwise(F.col(family))).drop(*marks)
+
+
+def clear_columns(table: DataFrame, key: Sequence[str], keys: KeySet, columns: Sequence[str]) -> DataFrame:
+    """Fixed columns set to NULL in the rows in ``keys``."""
+    marked, test, marks = mark(table, key, keys)
+    return marked.select(*[F.when(~test, F.col(f"`{c}`")).cast(t).alias(c) if c in columns else F.col(f"`{c}`") for c, t in table.dtypes])
 
 
 def upsert_cells(table: DataFrame, cells: DataFrame, key: Sequence[str], families: Sequence[str], order: str | None = None) -> DataFrame:
@@ -95,6 +99,32 @@ def upsert_cells(table: DataFrame, cells: DataFrame, key: Sequence[str], familie
     return both.select(*[x.alias(c) for x, c in zip(out, table.columns)])
 
 
+def in_rows_of(table: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows of ``table`` whose keys stand in ``changes``: what a write by key can touch."""
+    names = [F.col(f"`{k}`") for k in key]
+    return table.alias("o").join(changes.select(*names).distinct().alias("n"), _matched("o", "n", key), "left_semi")
+
+
+def on_duplicate(table: DataFrame, changes: DataFrame, key: Sequence[str], assignments: Mapping[str, str], order: str) -> DataFrame:
+    """The rows of ``table`` that ``changes`` (its columns and ``order``) touch, and new ones, after INSERT ... ON DUPLICATE KEY UPDATE.
+
+    A row whose key is not there is added; each further one of its key changes it by
+    ``assignments``, Spark SQL over q_s (the row so far) and q_e (the row that came).
+    The rows of one key are folded in order, as the statement asks for.
+    """
+    names = table.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    types = dict(table.dtypes)
+    added = changes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("q_at"), row.alias("q_row")))).alias("q_added"))
+    old = in_rows_of(table, changes, key).select(*[F.col(f"`{k}`") for k in key], row.alias("q_old"))
+    both = added.alias("a").join(old.alias("o"), _matched("o", "a", key), "left").select("a.q_added", "o.q_old")
+    given = {c.lower(): v for c, v in assignments.items()}
+    new = ", ".join(f"'{c}', CAST({given.get(c.lower(), f'q_s.`{c}`')} AS {types[c]})" for c in names)
+    kind = both.schema["q_old"].dataType.simpleString()
+    folded = f"aggregate(transform(q_added, q_e -> q_e.q_row), CAST(q_old AS {kind}), (q_s, q_e) -> CAST(IF(q_s IS NULL, q_e, named_struct({new})) AS {kind}))"
+    return both.select(F.expr(folded).alias("r")).select("r.*")
+
+
 def update_where(table: DataFrame, assignments: Mapping[str, str], where: str | None = None) -> DataFrame:
     """Assignments (Spark SQL) on the rows that meet ``where``; all read the row as it was."""
     given = {c.lower(): v for c, v in assignments.items()}
@@ -104,3 +134,8 @@ def update_where(table: DataFrame, assignments: Mapping[str, str], where: str |
 
 def delete_where(table: DataFrame, where: str | None = None) -> DataFrame:
     return table.where(~F.coalesce(F.expr(where).cast("boolean"), F.lit(False))) if where else table.limit(0)
+
+
+def at_or_above(key: Sequence[str], bound: tuple) -> Column:
+    """Whether a row's key is ``bound`` or comes after it."""
+    return F.coalesce(lower_bound(key, bound), F.lit(False))

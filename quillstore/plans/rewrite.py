@@ -9,6 +9,7 @@ rewriting, so the whole of it is usable.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from ..functions import REGISTRY, info, render
 
@@ -75,6 +76,9 @@ class Rewriter:
     def __init__(self, text: str):
         self.tokens = tokens_of(text)
         self.at = 0
+        #: What a column name becomes, and VALUES(name); a session sets them where rows have two sides.
+        self.column: Callable[[str], str] = str
+        self.new_value: Callable[[str], str] | None = None
 
     # -- token access ------------------------------------------------------------------
 
@@ -310,6 +314,9 @@ class Rewriter:
             parts = self.arguments()
             self.expect(")")
             return f"({parts[0]})" if len(parts) == 1 else f"struct({', '.join(parts)})"
+        if word == "VALUES" and self.new_value and self.word(1) == "(":
+            self.take()
+            return self.new_value(self.parenthesised_names()[1:-1])
         if word == "CASE":
             return self.case()
         if word == "EXISTS":
@@ -344,7 +351,7 @@ class Rewriter:
             while self.word() == ".":
                 self.take()
                 text += "." + self.take()[1]
-            return text
+            return self.column(text)
         raise SqlError(f"unexpected {text!r}")
 
     def case(self) -> str:
@@ -517,15 +524,10 @@ def cast_integer(value: str) -> str:
 
 
 def variable(token: str) -> str:
-    name = token.lstrip("@").split(".")[-1].lower()
-    return sql_string(str(SYSTEM_VARIABLES.get(name, "")))
-
+    parts = token.lstrip("@").lower().split(".")
+    known = info.SYSTEM if parts[0] == "global" else info.scope().system
+    return sql_string(str(known.get(parts[-1], "")))
 
-#: System variables that queries read; SET changes them.
-SYSTEM_VARIABLES: dict[str, object] = {
-    "version": info.SESSION["version"], "autocommit": 1, "sql_mode": "STRICT_TRANS_TABLES", "time_zone": "UTC", "max_allowed_packet": 67108864, "group_concat_max_len": 1024,
-    "tx_isolation": "REPEATABLE-READ", "character_set_client": "utf8mb4", "collation_connection": "utf8mb4_bin", "block_encryption_mode": "aes-128-ecb",
-}
 
 def rewrite(text: str) -> str:
     """A MySQL query as Spark SQL."""

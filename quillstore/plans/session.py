@@ -3,39 +3,59 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import info, install
 from ..operators import mutate
-from ..sources.store import SQL_TYPES, Column, Index, Store, StoreError, TableMeta
-from .rewrite import SYSTEM_VARIABLES, Rewriter, SqlError, sql_string, string_value
+from ..operators.keys import KeySet, restrict
+from ..sources.store import SQL_TYPES, Column, Conflict, Index, Store, StoreError, TableMeta
+from .rewrite import Rewriter, SqlError, sql_string, string_value
 
 OK = "affected long"
+#: How often a statement is run again when another writer was faster.
+RETRIES = 5
 
 
 class Session:
-    """One connection: a current database, variables, and an optional transaction."""
+    """One connection: a current database, its own variables, prepared statements, and an optional transaction."""
 
     def __init__(self, spark: SparkSession, store: Store, database: str | None = None):
         self.spark, self.store, self.database = install(spark), store, database
-        self.pending: dict[tuple[str, str], tuple[TableMeta, DataFrame]] | None = None
+        self.scope = info.Scope(values={"database": database})
+        self.pending: dict[tuple[str, str], tuple[TableMeta, bool]] | None = None
+        self.prepared: dict[str, str] = {}
         self._statements: dict[str, Callable[[Rewriter], DataFrame]] = {
-            "SELECT": self._select, "WITH": self._select, "(": self._select, "INSERT": self._insert, "REPLACE": self._insert, "UPDATE": self._update, "DELETE": self._delete, "CREATE": self._create, "DROP": self._drop,
+            "SELECT": self._query, "WITH": self._query, "(": self._query, "INSERT": self._insert, "REPLACE": self._insert, "UPDATE": self._update, "DELETE": self._delete, "CREATE": self._create, "DROP": self._drop,
             "ALTER": self._alter, "SPLIT": self._split, "SHOW": self._show, "DESC": self._describe, "DESCRIBE": self._describe, "EXPLAIN": self._describe, "SET": self._set, "USE": self._use, "BEGIN": self._begin,
-            "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback,
+            "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback, "PREPARE": self._prepare, "EXECUTE": self._execute, "DEALLOCATE": self._deallocate,
         }
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
-        """Run one statement; ``args`` fill ? or :name."""
-        work = Rewriter(text)
-        run = self._statements.get(work.word())
-        if run is None:
-            raise SqlError(f"unsupported statement: {text[:40]!r}")
-        self._args = args
-        return run(work)
+        """Run one statement; ``args`` fill ? or :name.  Outside a transaction a write that lost to another one is run again."""
+        for left in reversed(range(RETRIES)):
+            work = Rewriter(text)
+            run = self._statements.get(work.word())
+            if run is None:
+                raise SqlError(f"unsupported statement: {text[:40]!r}")
+            self._args = args
+            with info.using(self.scope):
+                try:
+                    return run(work)
+                except Conflict:
+                    if not left or self.pending is not None or work.tokens[0][1].upper() == "COMMIT":
+                        raise
+        raise AssertionError("unreachable")
+
+    @staticmethod
+    def _end(work: Rewriter) -> None:
+        """Nothing may follow a statement: a word that isn't understood must not change what it does."""
+        while work.accept(";"):
+            pass
+        if work.peek()[0] != "end":
+            raise SqlError(f"unexpected {work.peek()[1]!r}")
 
     # -- tables ------------------------------------------------------------------------
 
@@ -49,24 +69,32 @@ class Session:
 
     def _load(self, name: str) -> tuple[TableMeta, DataFrame]:
         at = self._where(name)
-        if self.pending is not None and at in self.pending:
-            return self.pending[at]
-        meta = self.store.meta(*at)
+        if self.pending is None:
+            meta = self.store.meta(*at)
+        else:
+            if at not in self.pending:
+                self.pending[at] = self.store.meta(*at), False
+            meta = self.pending[at][0].copy()
         return meta, self.store.data(meta)
 
-    def _save(self, meta: TableMeta, df: DataFrame) -> None:
-        """Publish, or inside a transaction keep the plan until COMMIT."""
+    def _save(self, meta: TableMeta) -> None:
+        """Publish, or inside a transaction keep until COMMIT."""
         if self.pending is not None:
-            self.pending[meta.database, meta.name] = meta, df
+            self.pending[meta.database, meta.name] = meta, True
         else:
-            self.store.publish(meta, df)
+            self.store.commit(meta)
 
     def _done(self, affected: int = 0) -> DataFrame:
-        info.set_session(row_count=affected)
+        self.scope.values["row_count"] = affected
         return self.spark.createDataFrame([(affected,)], OK)
 
     # -- queries -----------------------------------------------------------------------
 
+    def _query(self, work: Rewriter) -> DataFrame:
+        out = self._select(work)
+        self._end(work)
+        return out
+
     def _select(self, work: Rewriter) -> DataFrame:
         """Store tables become views; ``family.*`` reads the table with that family exploded."""
         families = {b[1].lower() for a, b, c in zip(work.tokens[1:], work.tokens, work.tokens[2:]) if a == ("sign", ".") and c == ("sign", "*")}
@@ -113,47 +141,139 @@ class Session:
 
     def _insert(self, work: Rewriter) -> DataFrame:
         replace = work.take()[1].upper() == "REPLACE"
-        work.accept("IGNORE")
+        ignore = not replace and work.accept("IGNORE")
         work.accept("INTO")
         meta, df = self._load(self._name(work))
+        tail = self._cut(work, "ON", "DUPLICATE", "KEY", "UPDATE")
         columns = [c.name for c in meta.columns]
         if work.word() == "(" and work.word(1) != "SELECT":
             columns = [meta.column(c.strip("`")).name for c in work.parenthesised_names()[1:-1].split(", ")]
-        if work.accept("VALUES") or work.accept("VALUE"):
-            rows = []
-            while work.accept("("):
-                values = [self._default(meta, columns[i]) if v == "DEFAULT" else v for i, v in enumerate(self._values(work))]
-                if len(values) != len(columns):
-                    raise SqlError(f"{len(values)} values for {len(columns)} columns")
-                rows.append(values)
-                work.expect(")")
-                if not work.accept(","):
-                    break
-            selects = [f"SELECT {', '.join(f'{v} AS `{c}`' for c, v in zip(columns, r))}, {n} AS q_order" for n, r in enumerate(rows)]
-            new = self.spark.sql(" UNION ALL ".join(selects))
-            new = new.select(*[F.col(f"`{c}`").cast(meta.column(c).type).alias(c) for c in columns], "q_order")
+            if len(set(columns)) < len(columns):
+                raise SqlError("a column is given twice")
+        given = work.accept("VALUES") or work.accept("VALUE")
+        if given:
+            new = self._given_rows(work, meta, columns)
+            self._end(work)
         else:
             new = self._select(work)
-            new = new.toDF(*columns).withColumn("q_order", F.monotonically_increasing_id())
-        for column in meta.columns:
-            if column.name not in columns:
-                if column.default is None and not column.nullable:
-                    raise StoreError(f"column {column.name} has no default")
-                new = new.withColumn(column.name, F.expr(column.default or "NULL").cast(column.type))
+            self._end(work)
+            if len(new.columns) != len(columns):
+                raise SqlError(f"{len(new.columns)} values for {len(columns)} columns")
+            new = self.store.stage(meta, new.toDF(*columns).withColumn("q_order", F.monotonically_increasing_id()))
+        assignments = self._assignments_of(tail, meta) if tail else None
+        if (ignore or assignments) and not meta.primary_key:
+            raise SqlError("IGNORE and ON DUPLICATE KEY need a primary key")
+        new = self._with_defaults(meta, new, columns)
+        if given:  # as many rows as the statement holds: worked out once
+            new = self.spark.createDataFrame(new.collect(), new.schema)
         needed = [c.name for c in meta.columns if not c.nullable]
-        if needed:
-            bad = new.where(" OR ".join(f"`{c}` IS NULL" for c in needed)).limit(1).count()
-            if bad:
-                raise StoreError(f"a column of {', '.join(needed)} cannot be NULL")
+        if needed and not new.where(" OR ".join(f"`{c}` IS NULL" for c in needed)).isEmpty():
+            raise StoreError(f"a column of {', '.join(needed)} cannot be NULL")
+        key = meta.primary_key
+        if not key:
+            affected = new.count()
+            self.store.append(meta, _widened(new.drop("q_order"), df))
+            self._save(meta)
+            return self._done(affected)
+        touched = restrict(df, key, KeySet(keys=tuple(tuple(r) for r in new.select(*_quoted(key)).collect()))) if given else mutate.in_rows_of(df, new, key)
         affected = new.count()
-        if meta.primary_key:
-            write = mutate.replace_rows if replace else mutate.upsert
-            out = write(df, new, meta.primary_key, "q_order")
+        if replace:
+            puts = _widened(mutate.last_of_each(new, key, "q_order"), df)
+        elif ignore:
+            first = mutate.last_of_each(new.withColumn("q_order", -F.col("q_order")), key, "q_order")
+            puts = _widened(mutate.insert_only(touched.limit(0), first.join(touched.select(*_quoted(key)), key, "left_anti"), key), df)
+            for index in meta.indexes:
+                if index.unique:
+                    puts = self._without_clashes(meta, index, puts)
+            affected = puts.count()
+        elif assignments:
+            twice = new.groupBy(*_quoted(key)).agg(F.count("*").alias("n")).join(touched.select(*_quoted(key), F.lit(1).alias("q_old")), key, "left")
+            affected = twice.agg(F.sum(F.expr("2 * n - IF(q_old IS NULL, 1, 0)"))).first()[0] or 0
+            puts = mutate.on_duplicate(touched, _widened(new, df, new), key, assignments, "q_order")
         else:
-            out = df.unionByName(new.drop("q_order"), allowMissingColumns=True)
-        self._save(meta, out)
+            puts = mutate.upsert(touched, new, key, "q_order")
+        self.store.write(meta, puts)
+        self._save(meta)
         return self._done(affected)
 
+    def _given_rows(self, work: Rewriter, meta: TableMeta, columns: Sequence[str]) -> DataFrame:
+        rows = []
+        while True:
+            work.expect("(")
+            values = self._values(work)
+            if len(values) != len(columns):
+                raise SqlError(f"{len(values)} values for {len(columns)} columns")
+            rows.append([self._default(meta, columns[i]) if v == "DEFAULT" else v for i, v in enumerate(values)])
+            work.expect(")")
+            if not work.accept(","):
+                break
+        selects = [f"SELECT {', '.join(f'{v} AS `{c}`' for c, v in zip(columns, r))}{', ' if r else ''}{n} AS q_order" for n, r in enumerate(rows)]
+        text = " UNION ALL ".join(selects)
+        new = self.spark.sql(text, args=self._args) if self._args else self.spark.sql(text)
+        return new.select(*[F.col(f"`{c}`").cast(meta.column(c).type).alias(c) for c in columns], F.col("q_order").cast("long").alias("q_order"))
+
+    def _with_defaults(self, meta: TableMeta, new: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """All columns of the table, in its types; the automatic one counts on from the last id given out."""
+        automatic = meta.attributes.get("auto_column")
+        for column in meta.columns:
+            if column.name in columns:
+                new = new.withColumn(column.name, F.col(f"`{column.name}`").cast(column.type))
+            elif column.name == automatic:
+                new = new.withColumn(column.name, F.lit(None).cast(column.type))
+            else:
+                if column.default is None and not column.nullable:
+                    raise StoreError(f"column {column.name} has no default")
+                new = new.withColumn(column.name, F.expr(column.default or "NULL").cast(column.type))
+        if automatic:
+            last = int(meta.attributes.get("auto_last", 0))
+            most = new.agg(F.max(F.col(f"`{automatic}`")), F.max("q_order"), F.count_if(F.col(f"`{automatic}`").isNull())).first()
+            new = new.withColumn(automatic, F.coalesce(F.col(f"`{automatic}`"), (F.lit(last + 1) + F.col("q_order")).cast(meta.column(automatic).type)))
+            if most[2]:
+                self.scope.values["last_insert_id"] = last + 1
+            meta.attributes["auto_last"] = str(max(last + (most[1] + 1 if most[2] else 0), most[0] or 0))
+        return new
+
+    def _without_clashes(self, meta: TableMeta, index: Index, puts: DataFrame) -> DataFrame:
+        """``puts`` without rows whose unique values a row of the table, or an earlier one of them, has."""
+        columns, key = _quoted(index.columns), _quoted(meta.primary_key)
+        none = " OR ".join(f"`{c}` IS NULL" for c in index.columns)
+        whole = puts.where(f"NOT ({none})").join(self.store.entries(meta, index).select(*columns), index.columns, "left_anti")
+        first = whole.groupBy(*columns).agg(F.min(F.struct(*key)).alias("q_first"))
+        whole = whole.join(first, index.columns).where(F.struct(*key) == F.col("q_first")).select(*_quoted(puts.columns))
+        return puts.where(none).union(whole)
+
+    def _assignments(self, work: Rewriter, meta: TableMeta) -> dict[str, str]:
+        given: dict[str, str] = {}
+        while True:
+            name = meta.column(self._name(work).split(".")[-1].strip("`")).name
+            work.expect("=")
+            given[name] = self._default(meta, name) if work.accept("DEFAULT") else work.expression()
+            if not work.accept(","):
+                return given
+
+    def _assignments_of(self, tail: Rewriter, meta: TableMeta) -> dict[str, str]:
+        """Those of ON DUPLICATE KEY UPDATE: names are the row's that is there (q_s), VALUES(name) the new one's (q_e)."""
+        known = {c.name.lower(): c.name for c in meta.columns}
+        own = lambda name: known.get(name.split(".")[-1].strip("`").lower())
+        tail.column = lambda name: f"q_s.`{own(name)}`" if own(name) else name
+        tail.new_value = lambda name: f"q_e.`{meta.column(name.strip('`')).name}`"
+        given = self._assignments(tail, meta)
+        self._end(tail)
+        if {c.lower() for c in given} & {c.lower() for c in meta.primary_key}:
+            raise SqlError("ON DUPLICATE KEY UPDATE cannot change the key")
+        return given
+
+    @staticmethod
+    def _cut(work: Rewriter, *words: str) -> Rewriter | None:
+        """What follows ``words``, taken off ``work``; None if they aren't there."""
+        for at in range(work.at, len(work.tokens)):
+            if [t[1].upper() for t in work.tokens[at : at + len(words)] if t[0] == "word"] == list(words):
+                tail = Rewriter("")
+                tail.tokens = work.tokens[at + len(words) :]
+                work.tokens = work.tokens[:at]
+                return tail
+        return None
+
     def _values(self, work: Rewriter) -> list[str]:
         out = []
         while work.word() != ")":
@@ -172,16 +292,26 @@ class Session:
 
     @staticmethod
     def _name(work: Rewriter) -> str:
+        if work.peek()[0] not in ("word", "quoted"):
+            raise SqlError(f"expected a name, found {work.peek()[1]!r}")
         text = work.name()
         while work.accept("."):
             text += "." + work.name()
         return text
 
-    def _filter(self, work: Rewriter) -> str | None:
-        return Rewriter.boolean(work.expression()) if work.accept("WHERE") else None
-
-    def _limited(self, work: Rewriter, meta: TableMeta, df: DataFrame, where: str | None) -> tuple[DataFrame | None, int | None]:
-        """ORDER BY and LIMIT of an UPDATE or DELETE: the keys it is held to, or None."""
+    def _target(self, work: Rewriter, *stops: str) -> tuple[TableMeta, DataFrame]:
+        """The table an UPDATE or DELETE names, under its alias."""
+        name = self._name(work)
+        meta, df = self._load(name)
+        alias = meta.name
+        if work.accept("AS") or (work.peek()[0] in ("word", "quoted") and work.word() not in stops):
+            alias = self._name(work).strip("`")
+        return meta, df.alias(alias)
+
+    def _hits(self, work: Rewriter, meta: TableMeta, df: DataFrame) -> tuple[DataFrame, str | None]:
+        """The rows that WHERE, ORDER BY and LIMIT hold a statement to, and the condition."""
+        where = Rewriter.boolean(work.expression()) if work.accept("WHERE") else None
+        rows = df.where(where) if where else df
         order = []
         if work.accept("ORDER", "BY"):
             while True:
@@ -190,46 +320,52 @@ class Session:
                 work.accept("ASC")
                 if not work.accept(","):
                     break
-        if not work.accept("LIMIT"):
-            return None, None
-        n = int(work.expression())
-        if not meta.primary_key:
-            raise SqlError("LIMIT needs a primary key")
-        rows = df.where(where) if where else df
-        return rows.orderBy(*order, *meta.primary_key).limit(n).select(*meta.primary_key), n
+        if work.accept("LIMIT"):
+            n = int(work.expression())
+            if not meta.primary_key:
+                raise SqlError("LIMIT needs a primary key")
+            rows = rows.orderBy(*order, *_quoted(meta.primary_key)).limit(n)
+        self._end(work)
+        return rows, where
 
     def _update(self, work: Rewriter) -> DataFrame:
         work.take()
-        meta, df = self._load(self._name(work))
+        meta, df = self._target(work, "SET")
         work.expect("SET")
-        given: dict[str, str] = {}
-        while True:
-            name = self._name(work)
-            work.expect("=")
-            given[meta.column(name.strip("`")).name] = self._default(meta, name) if work.accept("DEFAULT") else work.expression()
-            if not work.accept(","):
-                break
-        where = self._filter(work)
-        held, _ = self._limited(work, meta, df, where)
-        if held is not None:
-            marked = df.join(held.withColumn("q_hit", F.lit(True)), meta.primary_key, "left")
-            affected = held.count()
-            out = mutate.update_where(marked, given, "q_hit").select(*df.columns)
+        given = self._assignments(work, meta)
+        rows, where = self._hits(work, meta, df)
+        affected = rows.count()
+        if not meta.primary_key:
+            self.store.rewrite(meta, mutate.update_where(df, given, where))
+        elif {c.lower() for c in given} & {c.lower() for c in meta.primary_key}:
+            self._move(meta, rows, given)
         else:
-            affected = (df.where(where) if where else df).count()
-            out = mutate.update_where(df, given, where)
-        self._save(meta, out)
+            self.store.write(meta, mutate.update_where(rows, given))
+        self._save(meta)
         return self._done(affected)
 
+    def _move(self, meta: TableMeta, rows: DataFrame, given: dict[str, str]) -> None:
+        """An update of key columns: the old keys go, and the new ones must be free."""
+        key = _quoted(meta.primary_key)
+        moved = self.store.stage(meta, mutate.update_where(rows, given))
+        stays = self.store.data(meta).select(*key).join(rows.select(*key), meta.primary_key, "left_anti")
+        after = stays.join(moved.select(*key).distinct(), meta.primary_key, "left_semi").union(moved.select(*key))
+        if not after.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise StoreError(f"duplicate entry for the primary key of {meta.name}")
+        self.store.write(meta, gone=rows.select(*key))
+        self.store.write(meta, moved)
+
     def _delete(self, work: Rewriter) -> DataFrame:
         work.take()
         work.expect("FROM")
-        meta, df = self._load(self._name(work))
-        where = self._filter(work)
-        held, _ = self._limited(work, meta, df, where)
-        affected = held.count() if held is not None else (df.where(where) if where else df).count()
-        out = df.join(held, meta.primary_key, "left_anti") if held is not None else mutate.delete_where(df, where)
-        self._save(meta, out)
+        meta, df = self._target(work, "WHERE", "ORDER", "LIMIT", "")
+        rows, where = self._hits(work, meta, df)
+        affected = rows.count()
+        if not meta.primary_key:
+            self.store.rewrite(meta, mutate.delete_where(df, where))
+        else:
+            self.store.write(meta, gone=rows.select(*_quoted(meta.primary_key)))
+        self._save(meta)
         return self._done(affected)
 
     # -- definitions -------------------------------------------------------------------
@@ -241,14 +377,18 @@ class Session:
         work.take()
         if work.accept("DATABASE") or work.accept("SCHEMA"):
             lenient = self._if_not_exists(work)
-            self.store.create_database(self._name(work).strip("`"), lenient)
+            name = self._name(work).strip("`")
+            self._end(work)
+            self.store.create_database(name, lenient)
             return self._done()
         unique = work.accept("UNIQUE")
         if work.accept("INDEX"):
             name = self._name(work).strip("`")
             work.expect("ON")
             at = self._where(self._name(work))
-            self.store.create_index(*at, Index(name, self._columns(work), unique))
+            columns = self._columns(work)
+            self._end(work)
+            self.store.create_index(*at, Index(name, columns, unique))
             return self._done()
         work.expect("TABLE")
         lenient = self._if_not_exists(work)
@@ -264,6 +404,7 @@ class Session:
             option = work.take()[1].lower()
             work.accept("=")
             meta.attributes[option] = work.take()[1].strip("'\"")
+        self._end(work)
         self.store.create_table(meta, lenient)
         return self._done()
 
@@ -306,6 +447,8 @@ class Session:
                 work.accept("KEY")
                 if meta is not None:
                     meta.indexes.append(Index(column.name, [column.name], True))
+            elif work.accept("AUTO_INCREMENT") and meta is not None:
+                meta.attributes["auto_column"] = column.name
             elif work.accept("DEFAULT"):
                 column.default = work.expression(12)
             elif work.accept("FAMILY"):
@@ -320,16 +463,26 @@ class Session:
 
     def _drop(self, work: Rewriter) -> DataFrame:
         work.take()
-        table = work.take()[1].upper() == "TABLE"
+        what = work.take()[1].upper()
+        if what not in ("TABLE", "DATABASE", "SCHEMA", "INDEX"):
+            raise SqlError(f"DROP {what} is not supported")
         lenient = work.accept("IF", "EXISTS")
-        while True:
-            name = self._name(work)
-            if table:
+        names = [self._name(work)]
+        if what == "INDEX":
+            work.expect("ON")
+            at = self._where(self._name(work))
+            self._end(work)
+            self.store.drop_index(*at, names[0].strip("`"))
+            return self._done()
+        while work.accept(","):
+            names.append(self._name(work))
+        self._end(work)
+        for name in names:
+            if what == "TABLE":
                 self.store.drop_table(*self._where(name), lenient)
             else:
                 self.store.drop_database(name.strip("`"))
-            if not work.accept(","):
-                return self._done()
+        return self._done()
 
     def _alter(self, work: Rewriter) -> DataFrame:
         work.take()
@@ -337,20 +490,52 @@ class Session:
         at = self._where(self._name(work))
         work.expect("ADD")
         work.accept("COLUMN")
-        self.store.add_column(*at, self._column(work, None))
+        column = self._column(work, None)
+        self._end(work)
+        self.store.add_column(*at, column)
         return self._done()
 
     def _split(self, work: Rewriter) -> DataFrame:
-        """SPLIT TABLE t [BETWEEN ...] REGIONS n: the range of keys and the rows of each region."""
+        """SPLIT TABLE t [BETWEEN (a) AND (b)] REGIONS n, or BY (a), (b), ...: keys and rows of each region.
+
+        Without bounds the regions are of about equal size; BETWEEN cuts the range of the
+        first key column into n equal steps; BY gives the lower bounds themselves.
+        """
         work.take()
         work.expect("TABLE")
-        meta = self.store.meta(*self._where(self._name(work)))
-        while work.peek()[0] != "end" and not work.accept("REGIONS"):
-            work.take()
-        regions = int(work.take()[1])
-        key = F.struct(*meta.primary_key)
-        dealt = self.store.split_ranges(meta, regions).withColumn("region", F.spark_partition_id())
-        return dealt.groupBy("region").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
+        meta, df = self._load(self._name(work))
+        key = _quoted(meta.primary_key)
+        bounds: list[tuple] | None = None
+        if work.accept("BY"):
+            bounds = [self._literals(work)]
+            while work.accept(","):
+                bounds.append(self._literals(work))
+        elif work.accept("BETWEEN"):
+            low = self._literals(work)
+            work.expect("AND")
+            high = self._literals(work)
+            work.expect("REGIONS")
+            regions = int(work.take()[1])
+            if regions < 1 or len(low) != 1 or len(high) != 1:
+                raise SqlError("SPLIT BETWEEN takes one value on each side and a number of regions")
+            step = (high[0] - low[0]) / regions
+            bounds = [(low[0] + type(low[0])(step * i),) for i in range(1, regions)]
+        else:
+            work.expect("REGIONS")
+            regions = int(work.take()[1])
+        self._end(work)
+        if bounds is None:
+            dealt = self.store.split_ranges(meta, regions)
+        else:
+            above = [mutate.at_or_above(meta.primary_key, b).cast("int") for b in bounds]
+            dealt = df.withColumn("region", sum(above[1:], above[0]) if above else F.lit(0))
+        return dealt.groupBy("region").agg(F.min(F.struct(*key)).alias("first_key"), F.max(F.struct(*key)).alias("last_key"), F.count("*").alias("n"))
+
+    def _literals(self, work: Rewriter) -> tuple:
+        work.expect("(")
+        values = work.arguments()
+        work.expect(")")
+        return tuple(self.spark.sql(f"SELECT {', '.join(values)}").first())
 
     # -- information -------------------------------------------------------------------
 
@@ -361,12 +546,14 @@ class Session:
             df = df.where(F.col(df.columns[0]).like(string_value(work.take()[1])))
         elif work.accept("WHERE"):
             df = df.where(Rewriter.boolean(work.expression()))
+        self._end(work)
         return df
 
     def _show(self, work: Rewriter) -> DataFrame:
         work.take()
-        for scope in ("GLOBAL", "SESSION", "FULL"):
-            work.accept(scope)
+        wide = work.accept("GLOBAL")
+        for word in ("SESSION", "FULL"):
+            work.accept(word)
         what = work.take()[1].upper()
         if what in ("DATABASES", "SCHEMAS"):
             return self._rows(work, [(d,) for d in self.store.databases()], "Database string")
@@ -386,7 +573,7 @@ class Session:
             meta = self.store.meta(*self._where(self._name(work)))
             return self._rows(work, [(meta.name, create_text(meta))], "Table string, `Create Table` string")
         if what == "VARIABLES":
-            return self._rows(work, sorted((k, str(v)) for k, v in SYSTEM_VARIABLES.items()), "Variable_name string, Value string")
+            return self._rows(work, sorted((k, str(v)) for k, v in (info.SYSTEM if wide else self.scope.system).items()), "Variable_name string, Value string")
         if what == "STATUS":
             return self._rows(work, [("Ssl_cipher", ""), ("Threads_connected", "1")], "Variable_name string, Value string")
         if what in ("CHARSET", "CHARACTER"):
@@ -407,7 +594,7 @@ class Session:
     def _describe(self, work: Rewriter) -> DataFrame:
         work.take()
         if work.word() in ("SELECT", "WITH"):
-            plan = self._select(work)._jdf.queryExecution().toString()
+            plan = self._query(work)._jdf.queryExecution().toString()
             return self.spark.createDataFrame([(plan,)], "plan string")
         return self._columns_of(work, self._name(work))
 
@@ -416,44 +603,121 @@ class Session:
     def _set(self, work: Rewriter) -> DataFrame:
         work.take()
         while True:
-            for scope in ("GLOBAL", "SESSION", "LOCAL"):
-                work.accept(scope)
+            wide = work.accept("GLOBAL")
+            for word in ("SESSION", "LOCAL"):
+                work.accept(word)
             if work.accept("NAMES"):
                 work.take()
             else:
                 kind, name = work.take()
+                if kind not in ("word", "variable"):
+                    raise SqlError(f"unexpected {name!r}")
                 if not work.accept("="):
                     work.expect(":=")
                 value = self.spark.sql(f"SELECT {work.expression()}").first()[0]
                 if kind == "variable" and not name.startswith("@@"):
-                    info.VARIABLES[name[1:].lower()] = "NULL" if value is None else sql_string(value) if isinstance(value, str) else str(value)
+                    self.scope.variables[name[1:].lower()] = "NULL" if value is None else sql_string(value) if isinstance(value, str) else str(value)
                 else:
-                    SYSTEM_VARIABLES[name.lstrip("@").split(".")[-1].lower()] = value
+                    wide = wide or name.lower().startswith("@@global.")
+                    (info.SYSTEM if wide else self.scope.system)[name.lstrip("@").split(".")[-1].lower()] = value
             if not work.accept(","):
+                self._end(work)
                 return self._done()
 
     def _use(self, work: Rewriter) -> DataFrame:
         work.take()
         name = self._name(work).strip("`").lower()
+        self._end(work)
         if name not in self.store.databases():
             raise StoreError(f"unknown database {name}")
-        self.database = name
+        self.database = self.scope.values["database"] = name
         return self._done()
 
     def _begin(self, work: Rewriter) -> DataFrame:
+        if work.take()[1].upper() == "START":
+            work.expect("TRANSACTION")
+        self._end(work)
+        if self.pending:
+            self._publish()
         self.pending = {}
         return self._done()
 
-    def _commit(self, work: Rewriter) -> DataFrame:
+    def _publish(self) -> None:
         pending, self.pending = self.pending or {}, None
-        for meta, df in pending.values():
-            self.store.publish(meta, df)
+        for meta, changed in pending.values():
+            if changed:
+                self.store.commit(meta)
+
+    def _commit(self, work: Rewriter) -> DataFrame:
+        """Publish each changed table; a Conflict if another writer changed one since it was first read."""
+        work.take()
+        self._end(work)
+        self._publish()
         return self._done()
 
     def _rollback(self, work: Rewriter) -> DataFrame:
+        work.take()
+        self._end(work)
         self.pending = None
         return self._done()
 
+    # -- prepared statements -----------------------------------------------------------
+
+    def prepare(self, name: str, text: str) -> None:
+        Rewriter(text)
+        self.prepared[name.lower()] = text
+
+    def execute(self, name: str, args: list | dict | None = None) -> DataFrame:
+        if name.lower() not in self.prepared:
+            raise SqlError(f"unknown prepared statement {name}")
+        return self.sql(self.prepared[name.lower()], args)
+
+    def close(self, name: str) -> None:
+        if self.prepared.pop(name.lower(), None) is None:
+            raise SqlError(f"unknown prepared statement {name}")
+
+    def _prepare(self, work: Rewriter) -> DataFrame:
+        work.take()
+        name = self._name(work).strip("`")
+        work.expect("FROM")
+        kind, text = work.take()
+        if kind != "string":
+            raise SqlError("PREPARE takes a statement as a string")
+        self._end(work)
+        self.prepare(name, string_value(text))
+        return self._done()
+
+    def _execute(self, work: Rewriter) -> DataFrame:
+        work.take()
+        name, args = self._name(work).strip("`"), []
+        if work.accept("USING"):
+            while True:
+                args.append(self.spark.sql(f"SELECT {work.primary()}").first()[0])
+                if not work.accept(","):
+                    break
+        self._end(work)
+        return self.execute(name, args or None)
+
+    def _deallocate(self, work: Rewriter) -> DataFrame:
+        work.take()
+        work.expect("PREPARE")
+        name = self._name(work).strip("`")
+        self._end(work)
+        self.close(name)
+        return self._done()
+
+
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def _widened(rows: DataFrame, table: DataFrame, with_order: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table`` that they lack as NULL, and q_order where it is asked for."""
+    rows = with_order if with_order is not None else rows
+    types = dict(table.dtypes)
+    out = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(types[c]).alias(c) for c in table.columns]
+    return rows.select(*out, *(["q_order"] if with_order is not None else []))
+
 
 def create_text(meta: TableMeta) -> str:
     lines = [f"  `{c.name}` {c.type}{'' if c.nullable else ' NOT NULL'}{f' DEFAULT {c.default}' if c.default is not None else ''}" for c in meta.columns]

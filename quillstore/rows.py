@@ -11,8 +11,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from .client import Client, Mutation
+from .operators.families import pick
 from .operators.keys import KeyRange, KeySet
 from .sources.store import Column, StoreError, TableMeta
 
@@ -91,24 +93,27 @@ class RowStore:
     def get_rows(self, table: str, rows: Sequence[bytes], columns: Sequence[str] | None = None) -> list[RowResult]:
         """In the order asked for; rows without a cell are left out."""
         families, wanted = self._families(table, columns)
-        found = self.client.sparse_read(self.database, table, "", [((bytearray(r),), []) for r in rows])
+        found = self.client.sparse_read(self.database, table, families, [((bytearray(r),), []) for r in rows])
         by_row = {bytes(r["row"]): self._result(r, families, wanted) for r in found.collect()}  # as many as the request
         return [by_row[r] for r in rows if r in by_row and by_row[r].columns]
 
     # -- writes ------------------------------------------------------------------------
 
     def mutate_rows(self, table: str, batches: Sequence[tuple[bytes, Sequence[CellMutation]]]) -> None:
-        """All of one call in one published version, in order."""
+        """All of one call in one published version, in order; neighbouring puts, or deletes of one column, are one write."""
         out: list[Mutation] = []
         for row, mutations in batches:
             for m in mutations:
                 family, qualifier = split_column(m.column)
-                if m.is_delete:
-                    out.append(Mutation("delete", (qualifier,) if qualifier else (), family=family, keys=KeySet.of((bytearray(row),))))
-                elif out and out[-1].kind == "insert_or_update" and (out[-1].family, out[-1].columns) == (family, (qualifier,)):
-                    out[-1] = Mutation("insert_or_update", (qualifier,), (*out[-1].rows, ((bytearray(row),), (m.value,))), family)
-                else:
-                    out.append(Mutation("insert_or_update", (qualifier,), (((bytearray(row),), (m.value,)),), family))
+                key = (bytearray(row),)
+                if not m.is_delete:
+                    puts = out.pop().cells if out and out[-1].kind == "insert_or_update" else ()
+                    out.append(Mutation("insert_or_update", cells=(*puts, (key, family, qualifier, m.value))))
+                    continue
+                taken = (qualifier,) if qualifier else ()
+                same = out and (out[-1].kind, out[-1].family, out[-1].columns) == ("delete", family, taken)
+                keys = out.pop().keys.keys if same else ()
+                out.append(Mutation("delete", taken, family=family, keys=KeySet(keys=(*keys, key))))
         if out:
             self.client.mutate(self.database, table, out)
 
@@ -119,7 +124,12 @@ class RowStore:
 
     def scan(self, table: str, start: bytes = b"", stop: bytes | None = None, columns: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
         keys = KeySet(ranges=(KeyRange((bytearray(start),) if start else None, (bytearray(stop),) if stop else None),))
-        return self.client.sparse_scan(self.database, table, "", keys, reverse=reverse)
+        families, wanted = self._families(table, columns)
+        found = self.client.sparse_scan(self.database, table, families, keys, reverse=reverse)
+        if not wanted:
+            return found
+        cells = [pick(F.col(f), wanted.get(f)).alias(f) for f in families]
+        return found.select("row", *cells).where(" OR ".join(f"size(coalesce(`{f}`, map())) > 0" for f in families))
 
     def scanner_open(self, table: str, start: bytes = b"", columns: Sequence[str] | None = None, stop: bytes | None = None, reverse: bool = False) -> int:
         families, wanted = self._families(table, columns)

@@ -48,9 +48,12 @@ def test_call_as_column(spark):
 def test_sequences_and_variables(spark):
     from quillstore.functions import info
 
-    info.create_sequence("s", 10, 5)
-    assert [rewrite_expression(f"nextval({n!r})") for n in ("s", "s")] == ["(10)", "(15)"]
-    assert rewrite_expression("lastval('s')") == "(15)"
+    with info.using(info.Scope()):
+        info.create_sequence("s", 10, 5)
+        assert [rewrite_expression(f"nextval({n!r})") for n in ("s", "s")] == ["(10)", "(15)"]
+        assert rewrite_expression("lastval('s')") == "(15)"
+        assert rewrite_expression("setvar('v', 3)") == "(3)" and rewrite_expression("getvar('v')") == "(3)"
+    assert rewrite_expression("@v") == "(NULL)"
 
 
 @pytest.mark.parametrize(

@@ -234,3 +234,178 @@ def test_row_store(spark, store):
     with pytest.raises(StoreError):
         rows.scanner_get(scanner)
     assert len(rows.scanner_get_list(rows.scanner_open_with_prefix("h", b"r"), 99)) == 5
+
+
+def rows_in(session, text):
+    return [tuple(r) for r in session.sql(text).collect()]
+
+
+def three(session):
+    session.sql("CREATE TABLE t (a BIGINT PRIMARY KEY, v BIGINT, w VARCHAR(9) DEFAULT 'd')")
+    session.sql("INSERT INTO t (a, v) VALUES (1, 10), (2, 20), (3, 30)")
+
+
+def test_aliases_and_qualified_names(session):
+    three(session)
+    assert rows_in(session, "DELETE FROM t AS x WHERE x.a = 1") == [(1,)]
+    assert rows_in(session, "DELETE FROM t WHERE t.a = 2;") == [(1,)]
+    assert rows_in(session, "UPDATE t y SET y.v = y.v + 1 WHERE y.a = 3") == [(1,)]
+    assert rows_in(session, "SELECT a, v FROM t") == [(3, 31)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DELETE FROM t WHER a = 1", "DELETE FROM t WHERE a = 1 garbage", "UPDATE t SET v = 0 WHER a = 1", "UPDATE t SET v = 0 WHERE a = 1 2", "INSERT INTO t (a, v) VALUES (9, 9) garbage here",
+        "INSERT INTO t (a, v) VALUES (9)", "INSERT INTO t (a, a) VALUES (9, 9)", "DROP TABLE t x", "CREATE INDEX i ON t (v) z", "SHOW TABLES t", "SET @x = 1 2", "USE d e", "COMMIT now", "SPLIT TABLE t REGIONS 2 3",
+        "INSERT INTO t (a, v) VALUES (1, 2) ON DUPLICATE KEY UPDATE a = 5", "UPDATE t SET a = 7 WHERE a < 3", "UPDATE t SET a = 3 WHERE a = 1", "DROP VIEW t", "EXECUTE nothing",
+    ],
+)
+def test_statements_that_must_change_nothing(session, text):
+    three(session)
+    with pytest.raises(ValueError):
+        session.sql(text)
+    assert rows_in(session, "SELECT a, v FROM t ORDER BY a") == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_insert_ignore_and_on_duplicate(session):
+    three(session)
+    assert rows_in(session, "INSERT IGNORE INTO t (a, v) VALUES (1, 99), (4, 40), (4, 41)") == [(1,)]
+    assert rows_in(session, "SELECT a, v FROM t WHERE a IN (1, 4) ORDER BY a") == [(1, 10), (4, 40)]
+    text = "INSERT INTO t (a, v) VALUES (1, 5), (1, 6), (8, 1), (8, 2) ON DUPLICATE KEY UPDATE v = t.v * 2 + VALUES(v), w = concat(w, 'x')"
+    assert rows_in(session, text) == [(7,)]
+    assert rows_in(session, "SELECT a, v, w FROM t WHERE a IN (1, 8) ORDER BY a") == [(1, 56, "dxx"), (8, 4, "dx")]
+    assert rows_in(session, "INSERT INTO t (a, v) SELECT a, 1 FROM t WHERE a < 3 ON DUPLICATE KEY UPDATE v = 0") == [(4,)]
+    assert rows_in(session, "SELECT v FROM t WHERE a < 3") == [(0,), (0,)]
+    assert rows_in(session, "UPDATE t SET a = a + 10 WHERE a < 3") == [(2,)]
+    assert rows_in(session, "SELECT a FROM t ORDER BY a") == [(3,), (4,), (8,), (11,), (12,)]
+
+
+def test_unique_indexes_hold(session):
+    three(session)
+    session.sql("CREATE UNIQUE INDEX u ON t (v)")
+    for text in ("INSERT INTO t (a, v) VALUES (4, 10)", "UPDATE t SET v = 10 WHERE a = 2", "INSERT INTO t (a, v) VALUES (5, 50), (6, 50)", "UPDATE t SET v = 1"):
+        with pytest.raises(StoreError):
+            session.sql(text)
+    assert rows_in(session, "INSERT IGNORE INTO t (a, v) VALUES (4, 10), (5, 50), (6, 50), (7, NULL), (8, NULL)") == [(3,)]
+    assert rows_in(session, "SELECT a, v FROM t ORDER BY a") == [(1, 10), (2, 20), (3, 30), (5, 50), (7, None), (8, None)]
+    session.sql("UPDATE t SET v = v + 10 WHERE a < 4")
+    session.sql("DELETE FROM t WHERE a = 5")
+    session.sql("INSERT INTO t (a, v) VALUES (6, 50), (9, 10)")
+    session.sql("DROP INDEX u ON t")
+    session.sql("INSERT INTO t (a, v) VALUES (20, 50)")
+    assert rows_in(session, "SELECT count(*), count(DISTINCT v) FROM t") == [(8, 5)]
+
+
+def test_automatic_ids_and_prepared_statements(session):
+    session.sql("CREATE TABLE t (id BIGINT AUTO_INCREMENT PRIMARY KEY, v BIGINT)")
+    session.sql("INSERT INTO t (v) VALUES (5), (6)")
+    assert rows_in(session, "SELECT last_insert_id()") == [(1,)]
+    session.sql("INSERT INTO t (id, v) VALUES (NULL, 7), (50, 8)")
+    session.sql("INSERT INTO t (v) VALUES (9)")
+    assert rows_in(session, "SELECT id, v FROM t ORDER BY id") == [(1, 5), (2, 6), (3, 7), (50, 8), (51, 9)]
+    session.sql("PREPARE q FROM 'SELECT v FROM t WHERE id = ?'")
+    session.sql("SET @id = 50")
+    assert rows_in(session, "EXECUTE q USING @id") == [(8,)] and session.execute("q", [1]).first().v == 5
+    session.sql("DEALLOCATE PREPARE q")
+    with pytest.raises(ValueError):
+        session.sql("EXECUTE q USING @id")
+
+
+def test_variables_belong_to_a_session(spark, store, session):
+    other = Session(spark, store, "d")
+    session.sql("SET @x = 5, group_concat_max_len = 3")
+    assert rows_in(session, "SELECT @x, @@group_concat_max_len, group_concat(k SEPARATOR '') FROM (SELECT 'abcd' AS k)") == [(5, "3", "abc")]
+    assert rows_in(other, "SELECT @x, @@group_concat_max_len, group_concat(k SEPARATOR '') FROM (SELECT 'abcd' AS k)") == [(None, "1024", "abcd")]
+    assert rows_in(session, "SELECT database(), schema()") == [("d", "d")]
+    assert rows_in(session, "SELECT connection_id()") != rows_in(other, "SELECT connection_id()")
+
+
+def test_json_objectagg_takes_the_last_of_equal_keys(session):
+    assert rows_in(session, "SELECT json_objectagg(k, v) FROM (SELECT 'a' AS k, 1 AS v UNION ALL SELECT 'b', 2)") == [('{"a":1,"b":2}',)]
+    assert rows_in(session, "SELECT json_objectagg(k, v) FROM (SELECT 'a' AS k, 1 AS v UNION ALL SELECT 'a', 1)") == [('{"a":1}',)]
+
+
+def test_split_bounds(session):
+    three(session)
+    got = sorted((r.region, r.n) for r in session.sql("SPLIT TABLE t BY (2), (3)").collect())
+    assert got == [(0, 1), (1, 1), (2, 1)]
+    assert sorted((r.region, r.n) for r in session.sql("SPLIT TABLE t BETWEEN (0) AND (4) REGIONS 2").collect()) == [(0, 1), (1, 2)]
+
+
+def test_a_write_costs_what_it_changes(spark, store):
+    client = Client(spark, store)
+    client.create_table(TableMeta("d", "t", [Column("k", "bigint"), Column("v", "string")], ["k"]))
+    client.mutate("d", "t", [Mutation("insert_or_update", ("k", "v"), tuple((i, f"text {i * 7919 % 1000003}") for i in range(20000)))])
+    before = store.meta("d", "t")
+    assert [kind for kind, _ in before.layers] == ["base"]
+    client.mutate("d", "t", [Mutation("insert_or_update", ("k", "v"), ((5, "new"), (-1, "first")))])
+    after = store.meta("d", "t")
+    assert after.layers[0] == before.layers[0] and [kind for kind, _ in after.layers[1:]] == ["put"]
+    size = lambda meta, at: store._bytes(store._layer(meta, meta.layers[at][1]))
+    assert size(after, 1) < size(after, 0) / 4
+    assert [r.v for r in client.read("d", "t", KeySet.range(-5, 6), ["v"]).collect()] == ["first", "text 0", *[f"text {i * 7919 % 1000003}" for i in range(1, 5)], "new"]
+    assert store.data(before).where("k = 5").first().v != "new"  # a reader of the old version still has it
+    for i in range(12):
+        client.mutate("d", "t", [Mutation("delete", keys=KeySet.of(100 + i))])
+    assert client.read("d", "t", KeySet.all()).count() == 20001 - 12
+    assert len(store.meta("d", "t").layers) <= 10
+    plan = client.read("d", "t", KeySet.of(7))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,7)" in plan
+
+
+def test_two_writers(spark, store):
+    client = Client(spark, store)
+    client.create_table(TableMeta("d", "t", [Column("k", "bigint"), Column("v", "bigint")], ["k"]))
+    put = lambda k, tx=None: client.mutate("d", "t", [Mutation("insert_or_update", ("k", "v"), ((k, k),))], tx)
+    one, two = client.begin(), client.begin()
+    put(1, one)
+    put(2, two)
+    one.commit()
+    with pytest.raises(StoreError):
+        two.commit()
+    assert [r.k for r in client.read("d", "t", KeySet.all()).collect()] == [1]
+    put(3)
+    publish, taken = store.commit, []
+
+    def slow(meta):  # another writer publishes between this one's read and its commit
+        if not taken:
+            taken.append(1)
+            put(4)
+        publish(meta)
+
+    store.commit = slow
+    put(5)
+    assert [r.k for r in client.read("d", "t", KeySet.all()).collect()] == [1, 3, 4, 5]
+
+
+def test_index_reads(spark, store):
+    client = Client(spark, store)
+    client.create_table(TableMeta("d", "t", [Column("k", "bigint"), Column("w", "bigint"), Column("v", "string")], ["k"]))
+    client.mutate("d", "t", [Mutation("insert_or_update", ("k", "w", "v"), tuple((i, i % 50, f"v{i}") for i in range(5000)))])
+    client.create_index("d", "t", Index("by_w", ["w"]))
+    client.mutate("d", "t", [Mutation("insert_or_update", ("k", "w"), ((3, 77), (6000, 3))), Mutation("delete", keys=KeySet.of(53))])
+    assert [r.k for r in client.read("d", "t", KeySet.of(3), ["k"], index="by_w").collect()] == [*range(103, 5000, 50), 6000]
+    assert [(r.k, r.v) for r in client.read("d", "t", KeySet.of(77), index="by_w").collect()] == [(3, "v3")]
+    assert [r.k for r in client.read("d", "t", KeySet.range(48), ["v", "k"], index="by_w", limit=3, reverse=True).collect()] == [3, 4999, 4949]
+    assert client.read("d", "t", KeySet.range(0, 40), ["v"], index="by_w").count() == 40 * 100 - 2 + 1
+    covered = client.read("d", "t", KeySet.of(9), ["k", "w"], index="by_w")._jdf.queryExecution().executedPlan().toString()
+    assert "v#" not in covered and "EqualTo(w,9)" in covered
+    fetched = client.read("d", "t", KeySet.of(9), ["v"], index="by_w")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(k" in fetched
+
+
+def test_long_lists_of_all_kinds(spark):
+    rows = list(itertools.product([None, *range(60)], [None, *range(30)]))
+    df = spark.createDataFrame(rows, "a int, b int").cache()
+    rng = random.Random(3)
+    for n in (3, 60, 1200):
+        keys = [rng.choice(rows) for _ in range(n)] + [(rng.choice(rows)[0],) for _ in range(n // 30)]
+        want = sorted((r for r in rows if r in set(keys) or r[:1] in set(keys) or (r[0] is not None and r[0] >= 58)), key=order)
+        given = KeySet(keys=tuple(keys)) | KeySet.range(58)
+        assert sorted(map(tuple, restrict(df, ["a", "b"], given).collect()), key=order) == want
+        left = [tuple(r) for r in mutate.delete_keys(df, ["a", "b"], given).collect()]
+        assert sorted(left, key=order) == sorted(set(rows) - set(want), key=order)
+    whole = KeySet(keys=tuple((i, 1) for i in range(2000)))
+    assert restrict(df, ["a", "b"], whole).count() == 60
+    assert mutate.delete_keys(df, ["a", "b"], KeySet(keys=tuple((i,) for i in range(1001)))).count() == 31
