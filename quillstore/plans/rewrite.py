@@ -79,6 +79,7 @@ class Rewriter:
         #: What a column name becomes, and VALUES(name); a session sets them where rows have two sides.
         self.column: Callable[[str], str] = str
         self.new_value: Callable[[str], str] | None = None
+        self.rows: dict[str, list[str]] = {}  # row constructors met, and their parts
 
     # -- token access ------------------------------------------------------------------
 
@@ -246,8 +247,14 @@ class Rewriter:
             return f"({left} {negated}BETWEEN {low} AND {self.expression(5)})"
         if word == "IN":
             self.expect("(")
-            inside = self.statement(")") if self.word() in ("SELECT", "WITH") else ", ".join(self.arguments())
+            parts = None if self.word() in ("SELECT", "WITH") else self.arguments()
+            inside = self.statement(")") if parts is None else ", ".join(parts)
             self.expect(")")
+            if parts and left in self.rows and all(p in self.rows for p in parts):
+                tests = [self.compare_rows(self.rows[left], "=", self.rows[p]) for p in parts]
+                while len(tests) > 1:  # a balanced tree: a long list doesn't nest deep
+                    tests = [f"({' OR '.join(tests[i : i + 2])})" for i in range(0, len(tests), 2)]
+                return f"({negated}{tests[0]})"
             return f"({left} {negated}IN ({inside}))"
         if word == "LIKE":
             right = self.expression(strength)
@@ -278,6 +285,8 @@ class Rewriter:
                     return render("date_add" if word == "+" else "date_sub", other, n, unit)
         if word in CALLS:
             return render(CALLS[word], left, right)
+        if left in self.rows and right in self.rows:
+            return self.compare_rows(self.rows[left], word, self.rows[right])
         return f"({left} {'<>' if word == '!=' else word} {right})"
 
     def arguments(self) -> list[str]:
@@ -313,7 +322,7 @@ class Rewriter:
                 return f"({inside})"
             parts = self.arguments()
             self.expect(")")
-            return f"({parts[0]})" if len(parts) == 1 else f"struct({', '.join(parts)})"
+            return f"({parts[0]})" if len(parts) == 1 else self.row(parts)
         if word == "VALUES" and self.new_value and self.word(1) == "(":
             self.take()
             return self.new_value(self.parenthesised_names()[1:-1])
@@ -354,6 +363,24 @@ class Rewriter:
             return self.column(text)
         raise SqlError(f"unexpected {text!r}")
 
+    def row(self, parts: list[str]) -> str:
+        text = render("row", *parts)
+        self.rows[text] = parts
+        return text
+
+    def compare_rows(self, left: list[str], sign: str, right: list[str]) -> str:
+        """Column by column, so that each pair is compared in its own type."""
+        if len(left) != len(right):
+            raise SqlError(f"rows of {len(left)} and {len(right)} columns")
+        if sign in ("=", "<=>"):
+            return "(" + " AND ".join(f"({a} {sign} {b})" for a, b in zip(left, right)) + ")"
+        if sign in ("<>", "!="):
+            return "(" + " OR ".join(f"({a} <> {b})" for a, b in zip(left, right)) + ")"
+        out = f"({left[-1]} {sign} {right[-1]})"
+        for a, b in zip(left[-2::-1], right[-2::-1]):
+            out = f"(({a} {sign[0]} {b}) OR (({a} = {b}) AND {out}))"
+        return out
+
     def case(self) -> str:
         self.expect("CASE")
         subject = None if self.word() == "WHEN" else self.expression()
@@ -411,7 +438,7 @@ class Rewriter:
             self.expect("IN")
             hay = self.expression()
             self.expect(")")
-            return render("locate", needle, hay)
+            return render("position", needle, hay)
         if name in ("substring", "substr", "mid"):
             args = [self.expression()]
             while self.accept(",") or self.accept("FROM") or self.accept("FOR"):
@@ -430,6 +457,8 @@ class Rewriter:
             return render(name, *args)
         args = self.arguments()
         self.expect(")")
+        if name == "row":
+            return self.row(args)
         if name not in REGISTRY:
             return f"{name}({', '.join(args)})"  # Spark's own
         return render(name, *args)

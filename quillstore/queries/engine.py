@@ -6,49 +6,15 @@ they exercise the function library; the others build plans from the operators.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import install
-from .operators import families, mutate
-from .operators.keys import KeySet
-from .operators.scan import batch_get, count_rows, scan
-from .plans.rewrite import rewrite
-from .sources.files import table
-from .streaming import windows
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations", "embeddings")
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLE[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
-def mysql(name: str, text: str, oracle: str | None = None) -> None:
-    """A query in MySQL text; without its own SQL the text itself is the oracle's."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        install(spark)
-        for t in TABLES:
-            if t in text:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(rewrite(text))
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLE[name] = oracle or text
-
+from ..operators import families, mutate
+from ..operators.keys import KeySet
+from ..operators.scan import batch_get, count_rows, scan
+from ..sources.files import table
+from ..streaming import windows
+from .registered import mysql, query
 
 # -- scans and keys -----------------------------------------------------------------------
 
@@ -161,15 +127,11 @@ mysql(
 )
 
 
-@query()
-def json_objectagg(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.expr("to_json(map_from_entries(collect_list(struct(n_name, n_nationkey))))").alias("nations"))
-
-
-@query()
-def approx_count_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"))
-
+mysql(
+    "json_objectagg", "SELECT n_regionkey, json_objectagg(n_name, n_nationkey) AS nations FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS nations FROM nation GROUP BY n_regionkey",
+)
+mysql("approx_count_distinct", "SELECT abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS close_to_exact FROM lineitem", "SELECT true AS close_to_exact")
 
 # -- windows ------------------------------------------------------------------------------
 
@@ -452,10 +414,15 @@ def sliding_counts(spark, sf_dir):
     return out.drop("window_end")
 
 
-@query()
+@query("SELECT CAST(8 AS BIGINT) AS regions, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS n, true AS apart FROM orders")
 def split_ranges(spark, sf_dir):
     dealt = table(spark, sf_dir, "orders").repartitionByRange(8, "o_orderkey").withColumn("region", F.spark_partition_id())
-    return dealt.groupBy("region").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"))
+    regions = dealt.groupBy("region").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count("*").alias("n"))
+    # Regions don't overlap if the spans of their keys, pairwise by number, follow one another: compared through an array of eight.
+    spans = F.array_sort(F.collect_list(F.struct("lo", "hi")))
+    apart = F.forall(F.sequence(F.lit(1), F.size("spans") - 1), lambda i: F.get("spans", i)["lo"] > F.get("spans", i - 1)["hi"])
+    out = regions.agg(F.count("*").alias("regions"), F.min("lo").alias("first_key"), F.max("hi").alias("last_key"), F.sum("n").alias("n"), spans.alias("spans"))
+    return out.select("regions", "first_key", "last_key", "n", apart.alias("apart"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
