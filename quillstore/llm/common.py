@@ -7,9 +7,6 @@ handled as UTF-8 bytes.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_root
+
 #: Bytes of text that one packed group holds (a longer text is a group of its own).
 GROUP_BYTES = 4 << 20
-#: Keys that one exchange partition holds on average.
-KEYS_PER_PART = 1_000_000
 #: Entries of one generation of a worker's word cache.
 CACHE_ENTRIES = 120_000
 
@@ -33,33 +30,12 @@ _ARROW = {
 }
 
 
-_OWN_ROOT: dict[str, str] = {}
-
-
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts don't meet in one batch."""
     for key, value in _ARROW.items():
         spark.conf.set(key, value)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_ROOT:
-            master = spark.sparkContext.master
-            one_machine = master.startswith("local") and "cluster" not in master
-            if one_machine:
-                own = tempfile.mkdtemp(prefix="quill-scratch-")
-                atexit.register(shutil.rmtree, own, ignore_errors=True)
-                _OWN_ROOT[app] = "file://" + own
-            else:
-                _OWN_ROOT[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        root = _OWN_ROOT[app]
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -115,23 +91,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(array: np.ndarray) -> bytes:
-    """Integers as byte planes under zstd: planes of equal bytes cost nothing."""
-    if not len(array):
-        return b""
-    planes = np.ascontiguousarray(array.view(np.uint8).reshape(len(array), array.dtype.itemsize).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes, n: int, dtype) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    if not n:
-        return np.empty(0, dtype)
-    raw = pa.decompress(data, n * dtype.itemsize, codec="zstd", asbytes=True)
-    planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n)
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(n)
-
-
 def pack_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -193,13 +152,5 @@ def packed_groups(docs: DataFrame, role: Callable[[pa.Array], np.ndarray] | None
     return materialize(docs.mapInArrow(run, PACKED), "groups")
 
 
-def exchange_parts(groups: DataFrame) -> int:
-    """How many exchange partitions the keys of ``groups`` need: in proportion to their bytes, so each stays bounded."""
-    n_bytes = groups.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    return max(8, -(-n_bytes // (6 * KEYS_PER_PART)))
-
-
-def split_sorted(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part of the key range begins in the sorted ``keys`` (parts + 1 places)."""
-    bounds = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, bounds), len(keys))
+def n_bytes_of(groups: DataFrame) -> int:
+    return groups.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0

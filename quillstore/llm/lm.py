@@ -8,9 +8,8 @@ crc32 mod 5 = 0 are deleted from the counts, and the weights maximise what the c
 the others give them.  Scores then use the counts of all learning documents.
 
 Counting and looking up is one exchange.  Each packed group of documents sends its
-distinct n-grams, with counts, to the partition of their key range, as sorted 64-bit
-keys; there they are added up, and the counts go back in the order in which the keys
-came, so no key is sent back and a very common n-gram is one entry of each group.  The
+distinct n-grams, as sorted 64-bit keys with counts; equal ones are added up, and the
+sums come back, so a very common n-gram is one entry of each group.  The
 tables grow with the corpus and are never collected; the weights are learned from a
 histogram of (bucket, quantised probabilities), which is bounded by its grid.
 
@@ -22,14 +21,13 @@ from; with nothing learned every score is 0; repeated rows are counted and score
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchange_parts, hash_words, materialize, mix, pack, packed_groups, split_sorted, unpack, unpack_table, words_of
+from .common import hash_words, mix, n_bytes_of, packed_groups, unpack_table, words_of
+from .exchange import Tree, exchange, pack_columns, requests_of, stats_of, unpack_columns
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Roles of groups.
@@ -38,6 +36,8 @@ BUCKETS = 48
 #: Steps of the histogram's grid in one halving of a probability.
 GRID = 4
 ROUNDS = 60
+#: Least bytes of a word with the space after it, on average.
+WORD_BYTES = 6
 END = np.uint64(0x5DEECE66D1CE4E5B)
 ODD = np.uint64(1)
 
@@ -78,58 +78,50 @@ class Grams:
         return word, np.concatenate([end, word[:-1]]), both
 
 
-REQUEST = "part int, gid long, role int, n int, keys binary, counts binary"
-REPLY = "gid long, part int, role int, n int, every binary, learned binary, vocabulary long, tokens long, vocabulary_learned long, tokens_learned long"
-
-
-def _requests(groups: DataFrame, parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, role, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                grams = Grams(unpack_table(docs.as_buffer()))
-                cuts = split_sorted(grams.distinct, parts)
-                rows: list[list] = [[], [], [], [], [], []]
-                for part in range(parts):
-                    a, b = cuts[part], cuts[part + 1]
-                    if b > a:
-                        counts = pack(grams.counts[a:b].astype(np.uint32)) if role != TEST else b""
-                        for column, value in zip(rows, (part, gid, role, b - a, pack(grams.distinct[a:b]), counts)):
-                            column.append(value)
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], ["part", "gid", "role", "n", "keys", "counts"])
-
-    return groups.select("gid", "role", "docs").mapInArrow(run, REQUEST)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """For one key range: the counts of all groups added up, to each group in the order of its keys."""
-    sizes, kinds = table.column("n").to_pylist(), table.column("role").to_pylist()
-    keys = np.concatenate([unpack(x, n, np.uint64) for x, n in zip(table.column("keys").to_pylist(), sizes)])
-    counts = [unpack(x, n, np.uint32).astype(np.int64) if kind != TEST else np.zeros(n, np.int64) for x, n, kind in zip(table.column("counts").to_pylist(), sizes, kinds)]
-    distinct, which = np.unique(keys, return_inverse=True)
-    every = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
-    learned = np.bincount(which, np.concatenate([c if kind == LEARN else np.zeros_like(c) for c, kind in zip(counts, kinds)]), len(distinct)).astype(np.int64)
-    rows: list[list] = [[] for _ in range(10)]
-    at = 0
-    for gid, part, kind, n in zip(table.column("gid").to_pylist(), table.column("part").to_pylist(), kinds, sizes):
-        own = which[at : at + n]
-        at += n
-        values = (gid, part, kind, n, pack(every[own].astype(np.uint64)), pack(learned[own].astype(np.uint64)) if kind == TUNE else None, None, None, None, None)
-        for column, value in zip(rows, values):
-            column.append(value)
-    words = (distinct & ODD).astype(bool)
-    known = (int((every[words] > 0).sum()), int(every[words].sum()), int((learned[words] > 0).sum()), int(learned[words].sum()))
-    for column, value in zip(rows, (-1, table.column("part")[0].as_py(), -1, 0, None, None, *known)):
-        column.append(value)
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-    return pa.table([pa.array(v, t) for v, t in zip(rows, types)], names=["gid", "part", "role", "n", "every", "learned", "vocabulary", "tokens", "vocabulary_learned", "tokens_learned"])
-
-
-def _counts(replies: pa.Table, column: str, n: int) -> np.ndarray:
+class Counted:
+    """Counts of equal keys add up: those of every learning document, and of those that are not deleted."""
+
+    raw = 0
+    types = (np.dtype(np.uint64), np.dtype(np.uint64), np.dtype(np.uint64))
+
+    def merge(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        distinct, which = np.unique(columns[0], return_inverse=True)
+        sums = [np.zeros(len(distinct), np.uint64) for _ in columns[1:]]
+        for total, column in zip(sums, columns[1:]):
+            np.add.at(total, which, column)
+        return which, [distinct, *sums]
+
+    def patch(self, merged: list[np.ndarray], replies: list[tuple[int, int, bytes]]) -> None:
+        for begin, n, data in replies:
+            merged[1][begin : begin + n], merged[2][begin : begin + n] = unpack_columns(data, n, self.types[1:])
+
+    def answer(self, own: list[np.ndarray], places: np.ndarray, merged: list[np.ndarray], role: int) -> tuple[int, bytes]:
+        """Both counts to a node (its role is -1) and to a group of deleted documents, else the first."""
+        counts = [c[places] for c in merged[1 : 3 if role in (-1, TUNE) else 2]]
+        return len(places), pack_columns(counts)
+
+    def stats(self, merged: list[np.ndarray]) -> list[int]:
+        words = (merged[0] & ODD).astype(bool)
+        return [int(x) for c in merged[1:] for x in ((c[words] > 0).sum(), c[words].sum())]
+
+
+STATS = ("vocabulary", "tokens", "vocabulary_learned", "tokens_learned")
+
+
+def _columns(data: pa.Buffer, role: int) -> list[np.ndarray]:
+    """What a group sends: its distinct keys, and their counts where it is learned from."""
+    grams = Grams(unpack_table(data))
+    counts = grams.counts.astype(np.uint64)
+    none = np.zeros_like(counts)
+    return [grams.distinct, none if role == TEST else counts, counts if role == LEARN else none]
+
+
+def _counts(replies: pa.Table, grams: Grams, role: int, column: int, tree: Tree) -> np.ndarray:
     """The replies to one group, put together in the order of its keys."""
-    rows = sorted(zip(replies.column("part").to_pylist(), replies.column("n").to_pylist(), replies.column(column).to_pylist()), key=lambda r: r[0])
-    out = np.concatenate([unpack(data, size, np.uint64) for _, size, data in rows]) if rows else np.empty(0, np.uint64)
-    assert len(out) == n, "a reply is missing"
+    types = Counted.types[1 : 3 if role == TUNE else 2]
+    parts = [unpack_columns(data, n, types)[column] for _, n, data in tree.ranges(replies, grams.distinct)]
+    out = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    assert len(out) == len(grams.distinct), "a reply is missing"
     return out.astype(np.float64)
 
 
@@ -180,39 +172,41 @@ def learn_weights(cells: np.ndarray, vocabulary: int) -> np.ndarray:
 class Model:
     """The exchange's tables and the weights, ready to score the groups they were made from."""
 
-    def __init__(self, groups: DataFrame):
+    def __init__(self, groups: DataFrame, **shape: int):
         self.groups = groups
-        self.parts = exchange_parts(groups)
-        self.replies = materialize(_requests(groups, self.parts).groupBy("part").applyInArrow(_answer, REPLY), "counts")
-        sums = self.replies.where("gid = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "tokens", "vocabulary_learned", "tokens_learned")]).first()
+        # A word gives two keys: its own, which few groups lack, and that of the pair.
+        self.tree, how = Tree.over(2 * n_bytes_of(groups) // WORD_BYTES, **shape), Counted()
+        self.replies = exchange(requests_of(groups, _columns, self.tree, how.raw), self.tree, how)
+        sums = stats_of(self.replies, STATS)
         self.vocabulary, self.tokens, tokens_learned = sums["vocabulary"], sums["tokens"], sums["tokens_learned"]
         self.weights = self._learn(sums["vocabulary_learned"], tokens_learned)
 
     def _learn(self, vocabulary: int, tokens: int) -> np.ndarray:
         if not self.tokens:
             return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+        tree = self.tree
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             made = []
             for packed in left.column("docs"):
                 grams = Grams(unpack_table(packed.as_buffer()))
-                made.append(_histogram(*grams.look_up(_counts(right, "learned", len(grams.distinct))), tokens))
+                made.append(_histogram(*grams.look_up(_counts(right, grams, TUNE, 1, tree)), tokens))
             return pa.concat_tables(made)
 
-        own, answers = (df.where(F.col("role") == TUNE) for df in (self.groups, self.replies))
-        cells = own.select("gid", "docs").groupBy("gid").cogroup(answers.select("gid", "part", "n", "learned").groupBy("gid")).applyInArrow(run, HISTOGRAM)
+        own, answers = (df.where(F.col("role") == TUNE) for df in (self.groups, self._answers()))
+        cells = own.select("gid", "docs").groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(run, HISTOGRAM)
         rows = cells.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).collect()  # bounded by the grid
         return learn_weights(np.array([[r["bucket"], r["n"], r["s2"] / r["n"], r["s1"] / r["n"]] for r in rows]).reshape(-1, 4), vocabulary)
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-        tokens, vocabulary, weights = self.tokens, self.vocabulary, self.weights
+        tokens, vocabulary, weights, tree = self.tokens, self.vocabulary, self.weights, self.tree
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             made = []
-            for packed in left.column("docs"):
+            for packed, role in zip(left.column("docs"), left.column("role").to_pylist()):
                 grams = Grams(unpack_table(packed.as_buffer()))
-                word, context, both = grams.look_up(_counts(right, "every", len(grams.distinct)))
+                word, context, both = grams.look_up(_counts(right, grams, role, 0, tree))
                 p2, p1 = probabilities(word, context, both, tokens)
                 w = weights[bucket(context)]
                 logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (vocabulary + 1))
@@ -229,8 +223,10 @@ class Model:
             return pa.concat_tables(made)
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        answers = self.replies.where("gid >= 0").select("gid", "part", "n", "every")
-        return self.groups.select("gid", "docs").groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(run, schema)
+        return self.groups.select("gid", "role", "docs").groupBy("gid").cogroup(self._answers().groupBy("gid")).applyInArrow(run, schema)
+
+    def _answers(self) -> DataFrame:
+        return self.replies.where("child >= 0").select(F.col("child").alias("gid"), "role", "node", "n", "data")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

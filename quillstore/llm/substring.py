@@ -1,129 +1,157 @@
 """Removal of word passages that an earlier document holds, by an exchange of windows.
 
-The exchange replaces De Bruijn compaction: there are no nodes, no branching test and no
-joins that compact paths.  An edge is a window of ``K`` words as a 64-bit hash.  Each packed group of documents sends its distinct edges with their
-first place (doc_id, word) to the exchange partition of their key range; there equal
-edges of all groups meet, and each group gets back the places of those that an earlier
-document holds.  A very common passage is one edge of each group, however many
-documents hold it.
+The exchange replaces De Bruijn compaction: there are no nodes of ``K`` - 1 words, no
+branching test and no joins that compact paths.  An edge is a window of ``K`` words as a
+64-bit key and, beside it, bits of an independent hash: both must agree, so edges are
+told apart by 80 bits.  Each packed group of documents sends its distinct edges with
+their first place (doc_id, word) through the exchange; equal edges of all groups meet,
+and each group gets back the places of those that an earlier document holds.  A very
+common passage is one edge of each group, however many documents hold it.
 
 Every word of a repeated edge is removed.  Once that is decided, neighbouring repeated
 edges of a document whose source places also are neighbours are reported as one span
-(start, end, source document, source word).  No text is compared with its source: an
-edge whose hash collides with an earlier one is removed, too.
+(start, end, source document, source word).
 
 Defined results: words are judged on the input, not on what is left; a null or empty
 text has no words; equal doc_ids are one document, so repeated rows don't remove each
-other; a null doc_id counts as greater than all others.
+other; a null doc_id, or one that is no whole number, counts as greater than all others.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchange_parts, hash_words, materialize, mix, pack, packed_groups, split_sorted, unpack, unpack_table, words_of
+from .common import hash_words, mix, n_bytes_of, packed_groups, unpack_table, words_of
+from .exchange import Tree, exchange, pack_columns, requests_of, unpack_columns
 
 K = 13
 LAST = np.iinfo(np.int64).max
-_STEP = 0x9E3779B97F4A7C15  # odd, so multiplying loses nothing
+#: Odd factors of the two hashes, so multiplying loses nothing.
+_STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Least bytes of a word with the space after it, on average.
+WORD_BYTES = 6
 
 
-def edge_keys(words: list[bytes], k: int = K) -> np.ndarray:
-    """A 64-bit key for each window of ``k`` words."""
-    if len(words) < k:
-        return np.empty(0, np.uint64)
-    hashes = hash_words(words)
+def _powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """step ** i and its inverses, modulo 2 ** 64."""
+    made = _POWERS.get(step)
+    if made is None or len(made[0]) < n:
+        size = max(n, 4096, 2 * len(made[0]) if made else 0)
+        bases = np.full((2, size), [[step], [pow(step, -1, 1 << 64)]], np.uint64)
+        bases[:, 0] = 1
+        made = _POWERS[step] = tuple(np.cumprod(bases, axis=1, dtype=np.uint64))
+    return made[0][:n], made[1][:n]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def edge_keys(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes for each window of ``k`` words: sums of word hashes by powers of a step, from running sums."""
     n = len(words) - k + 1
-    out, factor = np.zeros(n, np.uint64), 1
-    for j in range(k):
-        out += hashes[j : j + n] * np.uint64(factor)
-        factor = factor * _STEP % (1 << 64)
-    return mix(out)
+    if n < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    hashes = hash_words(words)
+    out = []
+    for step in _STEPS:
+        powers, inverses = _powers(step, len(words))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+        out.append(mix((sums[k:] - sums[:-k]) * inverses[:n]))
+    return out[0], out[1]
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """Bits of the key that count, and the type of what stands beside it; tests force collisions of keys with fewer bits."""
+
+    k: int = K
+    key_bits: int = 64
+    check: str = "<u2"
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        keys, check = edge_keys(words, self.k)
+        lost = np.uint64(64 - self.key_bits)
+        return (keys >> lost) << lost, check.astype(self.check)
+
+
+def grouped(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a stable order by both, where in it each distinct pair begins, the place of each entry's pair among them)."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    beside = check[order]
+    if (~begins[1:] & (beside[1:] != beside[:-1])).any():  # keys collide
+        order = np.lexsort((check, keys))
+        begins[1:] |= check[order[1:]] != check[order[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(begins) - 1
+    return order, np.flatnonzero(begins), which
 
 
 class Edges:
     """The edges of one packed group: of each document in order of doc_id, and the distinct ones with their first place."""
 
-    def __init__(self, table: pa.Table, k: int = K):
+    def __init__(self, table: pa.Table, hashing: Hashing, id_column: str = "doc_id"):
         self.table = table
-        ids = table.column("doc_id").combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = table.column("text").to_pylist()
+        ids = table.column(id_column).combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         self.ids = ids
-        self.words = [words_of(t) for t in texts]
-        order = np.argsort(ids, kind="stable")
-        keys, docs, at = [], [], []
-        for row in order.tolist():
-            own = edge_keys(self.words[row], k)
-            keys.append(own)
-            docs.append(np.full(len(own), row, np.int64))
-            at.append(np.arange(len(own), dtype=np.int64))
-        self.keys, self.rows, self.at = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (docs, np.int64), (at, np.int64)))
-        self.distinct, first, self.which = np.unique(self.keys, return_index=True, return_inverse=True)
+        self.words = [words_of(t) for t in table.column("text").to_pylist()]
+        made: list[list] = [[], [], [], []]
+        for row in np.argsort(ids, kind="stable").tolist():
+            keys, check = hashing.edges(self.words[row])
+            for column, value in zip(made, (keys, check, np.full(len(keys), row, np.int64), np.arange(len(keys), dtype=np.int64))):
+                column.append(value)
+        types = (np.uint64, hashing.check, np.int64, np.int64)
+        keys, check, self.rows, self.at = (np.concatenate(x) if x else np.empty(0, t) for x, t in zip(made, types))
+        order, begins, self.which = grouped(keys, check)
+        first = order[begins]
+        self.distinct, self.check = keys[first], check[first]
         self.first_id, self.first_at = ids[self.rows[first]], self.at[first]
 
+    def columns(self) -> list[np.ndarray]:
+        return [self.distinct, self.check, self.first_id, self.first_at.astype(np.uint32)]
 
-REQUEST = "part int, gid long, n int, keys binary, ids binary, at binary"
-REPLY = "gid long, part int, n int, which binary, ids binary, at binary"
-
-
-def _requests(groups: DataFrame, parts: int, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                edges = Edges(unpack_table(docs.as_buffer()), k)
-                cuts = split_sorted(edges.distinct, parts)
-                rows: list[list] = [[], [], [], [], [], []]
-                for part in range(parts):
-                    a, b = cuts[part], cuts[part + 1]
-                    if b > a:
-                        values = (part, gid, b - a, pack(edges.distinct[a:b]), pack(edges.first_id[a:b]), pack(edges.first_at[a:b].astype(np.uint32)))
-                        for column, value in zip(rows, values):
-                            column.append(value)
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], ["part", "gid", "n", "keys", "ids", "at"])
-
-    return groups.select("gid", "docs").mapInArrow(run, REQUEST)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """For one key range: to each group the edges that an earlier document of another group holds, and where."""
-    sizes = table.column("n").to_pylist()
-    keys, ids, at = (
-        np.concatenate([unpack(x, n, t) for x, n in zip(table.column(c).to_pylist(), sizes)])
-        for c, t in (("keys", np.uint64), ("ids", np.int64), ("at", np.uint32))
-    )
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    same = ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(keys), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    own = order[shared]  # places of the edges that two groups or more sent
-    own = own[np.lexsort((at[own], ids[own], keys[own]))]
-    begins = np.ones(len(own), bool)
-    begins[1:] = keys[own[1:]] != keys[own[:-1]]
-    source = own[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(own) else own
-    later = ids[source] < ids[own]
-    own, source = own[later], source[later]
-    back = np.argsort(own)
-    own, source = own[back], source[back]
-    bounds = np.append(0, np.cumsum(sizes))
-    cuts = np.searchsorted(own, bounds)
-    rows: list[list] = [[], [], [], [], [], []]
-    for row, (gid, part) in enumerate(zip(table.column("gid").to_pylist(), table.column("part").to_pylist())):
-        a, b = cuts[row], cuts[row + 1]
-        if b > a:
-            values = (gid, part, b - a, pack((own[a:b] - bounds[row]).astype(np.uint32)), pack(ids[source[a:b]]), pack(at[source[a:b]]))
-            for column, value in zip(rows, values):
-                column.append(value)
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, t) for v, t in zip(rows, types)], names=["gid", "part", "n", "which", "ids", "at"])
+
+class First:
+    """Of equal edges the first place counts; a child hears of those that are earlier than its own."""
+
+    raw = 1
+    _reply = (np.dtype(np.uint32), np.dtype(np.int64), np.dtype(np.uint32))
+
+    def __init__(self, hashing: Hashing):
+        self.types = (np.dtype(np.uint64), np.dtype(hashing.check), np.dtype(np.int64), np.dtype(np.uint32))
+
+    def merge(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, check, ids, at = columns
+        order, begins, which = grouped(keys, check)
+        first = order[begins]
+        sizes = np.diff(np.append(begins, len(keys)))
+        shared = order[np.repeat(sizes > 1, sizes)]  # entries of edges that two children or more sent
+        shared = shared[np.lexsort((at[shared], ids[shared], which[shared]))]
+        heads = np.ones(len(shared), bool)
+        heads[1:] = which[shared[1:]] != which[shared[:-1]]
+        first[which[shared[heads]]] = shared[heads]
+        return which, [c[first] for c in columns]
+
+    def patch(self, merged: list[np.ndarray], replies: list[tuple[int, int, bytes]]) -> None:
+        for begin, n, data in replies:
+            places, ids, at = unpack_columns(data, n, self._reply)
+            merged[2][places.astype(np.int64) + begin], merged[3][places.astype(np.int64) + begin] = ids, at
+
+    def answer(self, own: list[np.ndarray], places: np.ndarray, merged: list[np.ndarray], role: int) -> tuple[int, bytes]:
+        later = np.flatnonzero(merged[2][places] < own[2])
+        return len(later), pack_columns([later.astype(np.uint32), merged[2][places[later]], merged[3][places[later]]])
+
+    def stats(self, merged: list[np.ndarray]) -> list[int]:
+        return []
 
 
 def compact(flags: np.ndarray, source_id: np.ndarray, source_at: np.ndarray, k: int = K) -> list[tuple[int, int, int, int]]:
@@ -137,14 +165,11 @@ def compact(flags: np.ndarray, source_id: np.ndarray, source_at: np.ndarray, k:
     return [(int(a), int(b) + k, int(source_id[a]), int(source_at[a])) for a, b in zip(starts, ends)]
 
 
-def _solve(edges: Edges, replies: pa.Table, parts: int, k: int) -> list[tuple[list[bytes], np.ndarray, list[tuple[int, int, int, int]]]]:
+def _solve(edges: Edges, replies: pa.Table, tree: Tree, how: First, k: int) -> list[tuple[list[bytes], np.ndarray, list[tuple[int, int, int, int]]]]:
     """(words, which of them stay, spans) of each document of the group, in the table's order."""
-    source_id, source_at = edges.first_id.copy(), edges.first_at.copy()
-    cuts = split_sorted(edges.distinct, parts)
-    for part, n, which, ids, at in zip(*(replies.column(c).to_pylist() for c in ("part", "n", "which", "ids", "at"))):
-        places = unpack(which, n, np.uint32).astype(np.int64) + cuts[part]
-        source_id[places], source_at[places] = unpack(ids, n, np.int64), unpack(at, n, np.uint32)
-    window_id, window_at = source_id[edges.which], source_at[edges.which]
+    places = [edges.distinct, edges.check, edges.first_id.copy(), edges.first_at.copy()]
+    how.patch(places, tree.ranges(replies, edges.distinct))
+    window_id, window_at = places[2][edges.which], places[3][edges.which]
     flags = window_id < edges.ids[edges.rows]
     out: list = [None] * len(edges.words)
     bounds = np.flatnonzero(np.append(True, edges.rows[1:] != edges.rows[:-1])) if len(edges.rows) else np.empty(0, int)
@@ -159,26 +184,34 @@ def _solve(edges: Edges, replies: pa.Table, parts: int, k: int) -> list[tuple[li
     return out
 
 
-def _exchange(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+def _exchange(docs: DataFrame, id_column: str, hashing: Hashing, **shape: int) -> tuple[DataFrame, DataFrame, Tree, First]:
     groups = packed_groups(docs)
-    parts = exchange_parts(groups)
-    replies = materialize(_requests(groups, parts, k).groupBy("part").applyInArrow(_answer, REPLY), "replies")
-    return groups.select("gid", "docs"), replies, parts
+    tree, how = Tree.over(n_bytes_of(groups) // WORD_BYTES, **shape), First(hashing)
+
+    def make(data: pa.Buffer, role: int) -> Sequence[np.ndarray]:
+        return Edges(unpack_table(data), hashing, id_column).columns()
+
+    replies = exchange(requests_of(groups, make, tree, how.raw), tree, how).where("child >= 0")
+    return groups.select("gid", "docs"), replies.select(F.col("child").alias("gid"), "node", "n", "data"), tree, how
 
 
 def _kept(words: list[bytes], stay: np.ndarray) -> bytes:
     return b" ".join(words if stay.all() else [w for w, s in zip(words, stay.tolist()) if s])
 
 
-def repeated_passages(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and spans of each row of ``docs``."""
-    groups, replies, parts = _exchange(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k)
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
+
+
+def repeated_passages(docs: DataFrame, hashing: Hashing = Hashing(), **shape: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and spans of each row of ``docs``; ``shape``: of the exchange's tree."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    groups, replies, tree, how = _exchange(rows, "doc_id", hashing, **shape)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for packed in left.column("docs"):
-            edges = Edges(unpack_table(packed.as_buffer()), k)
-            solved = _solve(edges, right, parts, k)
+            edges = Edges(unpack_table(packed.as_buffer()), hashing)
+            solved = _solve(edges, right, tree, how, hashing.k)
             made.append(
                 pa.table({
                     "doc_id": edges.table.column("doc_id").combine_chunks(),
@@ -188,30 +221,29 @@ def repeated_passages(docs: DataFrame, k: int = K) -> DataFrame:
                     "spans": pa.array([[dict(zip(("start", "end", "source_id", "source_start"), s)) for s in spans] for _, _, spans in solved], SPANS),
                 })
             )
-        return pa.concat_tables(made) if made else pa.table([pa.array([], t) for t in OUT_TYPES], names=OUT)
+        return pa.concat_tables(made)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long,source_id:long,source_start:long>>"
     return groups.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(run, schema)
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
-OUT = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
-OUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), SPANS]
-
-
-def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
-    """``docs`` with the repeated words taken out of ``text``; a text that loses none stays as it is."""
+def without_repeats(docs: DataFrame, hashing: Hashing = Hashing(), **shape: int) -> DataFrame:
+    """``docs`` with the repeated words taken out of ``text``; a text that loses none stays as it is.  Any type of doc_id will do."""
+    own = "q_id"
+    while own in docs.columns:
+        own += "_"
+    keyed = docs.withColumn(own, F.col("doc_id").try_cast("long"))
     schema = docs.schema
-    groups, replies, parts = _exchange(docs, k)
+    groups, replies, tree, how = _exchange(keyed, own, hashing, **shape)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for packed in left.column("docs"):
             table = unpack_table(packed.as_buffer())
-            solved = _solve(Edges(table, k), right, parts, k)
+            solved = _solve(Edges(table, hashing, own), right, tree, how, hashing.k)
             texts = [old if stay.all() else _kept(words, stay).decode("utf-8", "surrogatepass") for old, (words, stay, _) in zip(table.column("text").to_pylist(), solved)]
             at = table.column_names.index("text")
-            made.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)))
+            made.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).drop_columns([own]))
         return pa.concat_tables(made)
 
     return groups.groupBy("gid").cogroup(replies.groupBy("gid")).applyInArrow(run, schema)

@@ -9,11 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstore.llm import bpe, common, lm, packing, pii, quality, simhash, substring, token_counts, topk
+from quillstore.llm import bpe, common, exchange, lm, packing, pii, quality, simhash, substring, token_counts, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -128,12 +130,56 @@ def test_substring(docs, empty):
     assert substring.without_repeats(empty).collect() == []
 
 
-def test_substring_over_many_groups(docs, monkeypatch):
-    want = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in substring.repeated_passages(docs).collect())
-    monkeypatch.setattr(common, "GROUP_BYTES", 300)
+def removed(df):
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
+
+
+def test_substring_over_many_groups_and_levels(docs, monkeypatch):
+    want = removed(substring.repeated_passages(docs))
     whole = common.packed_groups
-    monkeypatch.setattr(substring, "packed_groups", lambda d: whole(d, group_bytes=300))
-    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in substring.repeated_passages(docs).collect()) == want
+    monkeypatch.setattr(substring, "packed_groups", lambda d: whole(d, group_bytes=600))
+    assert removed(substring.repeated_passages(docs)) == want
+    shape = {"bits": 2, "node_keys": 40}
+    assert len(exchange.Tree.over(10_000, **shape).blocks) > 2
+    assert removed(substring.repeated_passages(docs, **shape)) == want
+    # Keys of a few bits collide all over; the hash beside them tells edges apart, inside a group and across groups.
+    assert removed(substring.repeated_passages(docs, substring.Hashing(key_bits=3, check="<u8"), bits=2, node_keys=10**6)) == want
+    assert removed(substring.repeated_passages(docs, substring.Hashing(key_bits=9, check="<u8"), **shape)) == want
+
+
+def test_substring_takes_any_type_of_id(spark, docs):
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in substring.without_repeats(docs).collect())
+    for kind in ("int", "string", "decimal(20,0)"):
+        out = substring.without_repeats(docs.withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert dict(out.dtypes)["doc_id"] == kind
+        assert sorted((r.doc_id is None, int(r.doc_id or 0), r.text or "") for r in out.collect()) == want
+    same = " ".join(map(str, range(20)))
+    odd = spark.createDataFrame([("x", same, 1), ("7", same, 2), (None, same, 3)], "doc_id string, text string, q_id int")
+    assert {(r.doc_id, r.text) for r in substring.without_repeats(odd).collect()} == {("7", same), ("x", ""), (None, "")}
+
+
+def test_exchange_runs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 700):
+        keys = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        columns = [keys, rng.integers(0, 2**16, n).astype("<u2"), rng.integers(-(2**62), 2**62, n), np.arange(n, dtype=np.uint32)]
+        back = exchange.unpack_run(exchange.pack_run(columns, 1), n, [c.dtype for c in columns], 1)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, back))
+        tree = exchange.Tree(3, (4, 1))
+        sent = tree.send(5, 0, columns, 1)
+        assert sum(sent.column("n").to_pylist()) == n and sent.num_rows <= 8
+        assert [a for a, _, _ in tree.ranges(pa.Table.from_batches([sent]), keys)] == sorted({int(x) for x in np.searchsorted(keys >> np.uint64(61), np.unique(keys >> np.uint64(61)))})
+    assert exchange.Tree.over(10**9).blocks == (1,) and exchange.Tree.over(10**13).blocks[1:] == (1,)
+
+
+def test_windows_by_running_sums():
+    rng = random.Random(3)
+    w = [str(rng.randint(0, 3)).encode() for _ in range(9000)]
+    keys, check = substring.edge_keys(w)
+    assert len(keys) == len(check) == len(w) - 12
+    again = substring.edge_keys(w[4000:4013])
+    assert keys[4000] == again[0][0] and check[4000] == again[1][0]
+    assert len(set(keys.tolist())) == len(set(check.tolist())) == len({tuple(w[i : i + 13]) for i in range(len(w) - 12)})
 
 
 def slow_fingerprint(text):
@@ -337,28 +383,82 @@ def test_pii_documents(docs, empty):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (0, 0, 0, 0) or r.spans
 
 
+def slow_scores(rows):
+    """(doc_id, held out, tokens, known, N, base, score) of each row: weights by EM over single tokens, not a histogram."""
+    tokens = lambda t: [*words(low(t)), None]
+    of = {part: [tokens(t) for d, t in rows if lm.fold(d) in part] for part in ((0, 2, 3, 4), (2, 3, 4), (0,))}
+    every, kept, deleted = of.values()
+
+    def counts(texts):
+        return Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([None, *t], t))
+
+    (one, two), (one_kept, two_kept) = counts(every), counts(kept)
+    n, n_kept, size, size_kept = sum(one.values()), sum(one_kept.values()), len(one), len(one_kept)
+    bucket = lambda c: 0 if not c else 1 + int(math.log2(c))
+    seen = {}
+    for t in deleted:
+        for h, w in zip([None, *t], t):
+            c = one_kept[h]
+            seen.setdefault(bucket(c), []).append((two_kept[h, w] / c if c else 0.0, one_kept[w] / n_kept if n_kept else 0.0, 1 / (size_kept + 1)))
+    weights = {}
+    for b in range(lm.BUCKETS):
+        if b in seen:
+            p, w = np.array(seen[b]), np.array([1 / 3] * 3 if b else [0, 0.5, 0.5])
+            for _ in range(lm.ROUNDS):
+                share = p * w
+                w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+            w = 0.9999 * w + np.array([0, 0, 0.0001])
+            weights[b] = w / w.sum()
+        else:
+            weights[b] = weights[b - 1] if b > 1 and seen else np.array([0.3, 0.6, 0.1] if b else [0.0, 0.9, 0.1])
+    out = []
+    for d, t in rows:
+        own = tokens(t)
+        base = sum(math.log10((one[w] + 0.5) / (n + 0.5 * (size + 1))) for w in own)
+        score = 0.0
+        for h, w in zip([None, *own], own):
+            l2, l1, l0 = weights[bucket(one[h])]
+            score += math.log10(l2 * (two[h, w] / one[h] if one[h] else 0) + l1 * one[w] / n + l0 / (size + 1))
+        out.append((d, lm.fold(d) == 1, len(own), sum(one[w] > 0 for w in own), n, base, score))
+    return out
+
+
+def close(got, want):
+    """Equal rows, with floats of nine digits; the histogram's cells are means, so scores agree a little less closely."""
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 3))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert tuple(a[:5]) == b[:5]
+        assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=2e-3, abs=1e-2)
+
+
 def test_lm(docs, empty, spark):
     rows = rows_of(docs)
-    count = Counter()
-    for d, t in rows:
-        if lm.fold(d) != 1:
-            count.update([*words(low(t)), None])
-    total, size = sum(count.values()), len(count)
-    out = lm.score_documents(docs).collect()
-    assert len(out) == len(rows)
-    by_id = {}
-    for d, t in rows:
-        own = [*words(low(t)), None]
-        base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (size + 1))) for w in own)
-        by_id.setdefault(d, []).append((lm.fold(d) == 1, len(own), sum(count[w] > 0 for w in own), total, round(base, 6)))
-    for r in out:
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) in by_id[r.doc_id]
-        assert r.score < 0
+    close([tuple(r) for r in lm.score_documents(docs).collect()], slow_scores(rows))
     assert lm.score_documents(empty).collect() == []
     one = spark.createDataFrame([(d, "a b") for d in range(200) if lm.fold(d) == 1][:3], "doc_id long, text string")
     assert [r.score for r in lm.score_documents(one).collect()] == [0, 0, 0]
 
 
+def test_lm_over_many_groups_and_levels(docs):
+    want = Counter((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.score_documents(docs).collect())
+    groups = common.packed_groups(docs.select("doc_id", "text"), lm.roles, group_bytes=800)
+    for shape in ({}, {"bits": 2, "node_keys": 50}):
+        out = lm.Model(groups, **shape).score().collect()
+        assert Counter((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in out) == want
+
+
+def test_lm_weights_maximise_the_held_out_likelihood():
+    rng = np.random.default_rng(2)
+    p = np.column_stack([rng.random(500) ** 4, rng.random(500) ** 8 / 5])
+    n = rng.integers(1, 9, 500)
+    w = lm.learn_weights(np.column_stack([np.full(500, 3), n, p]), 1000)[3]
+    loss = lambda w: float(n @ np.log(w[0] * p[:, 0] + w[1] * p[:, 1] + w[2] / 1001))
+    for _ in range(300):
+        other = np.abs(w + rng.normal(0, 0.05, 3))
+        assert loss(other / other.sum()) <= loss(w) + 0.5
+
+
 def test_lm_gains_on_held_out_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = lm.Model(common.packed_groups(docs.select("doc_id", "text"), lm.roles))
