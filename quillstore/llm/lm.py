@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, n_bytes_of, packed_groups, unpack_table, words_of
+from .common import mix, n_bytes_of, packed_groups, unpack_table, word_hashes
 from .exchange import Tree, exchange, pack_columns, requests_of, stats_of, unpack_columns
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
@@ -55,15 +55,10 @@ class Grams:
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("doc_id").to_pylist()
-        parts, starts, at = [], [], 0
         end = np.array([END], np.uint64)
-        for text in table.column("text").to_pylist():
-            words = words_of(text, lower=True)
-            parts += [hash_words(words), end]
-            starts.append(at)
-            at += len(words) + 1
-        self.starts = np.array(starts, np.int64)
-        tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        words, bounds = word_hashes(table.column("text").combine_chunks(), lower=True)
+        tokens = np.insert(words, bounds[1:], END)  # one after each document's words
+        self.starts = bounds[:-1] + np.arange(len(self.ids))
         before = np.concatenate([end, tokens[:-1]]) if len(tokens) else tokens  # what precedes a document's first token is an end, too
         unigrams = mix(tokens) | ODD
         bigrams = mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & ~ODD

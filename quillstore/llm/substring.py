@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, n_bytes_of, packed_groups, unpack_table, words_of
+from .common import mix, n_bytes_of, packed_groups, powers, unpack_table, word_hashes, words_of
 from .exchange import Tree, exchange, pack_columns, requests_of, unpack_columns
 
 K = 13
@@ -39,31 +39,14 @@ _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD_BYTES = 6
 
 
-def _powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """step ** i and its inverses, modulo 2 ** 64."""
-    made = _POWERS.get(step)
-    if made is None or len(made[0]) < n:
-        size = max(n, 4096, 2 * len(made[0]) if made else 0)
-        bases = np.full((2, size), [[step], [pow(step, -1, 1 << 64)]], np.uint64)
-        bases[:, 0] = 1
-        made = _POWERS[step] = tuple(np.cumprod(bases, axis=1, dtype=np.uint64))
-    return made[0][:n], made[1][:n]
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def edge_keys(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def edge_keys(hashes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes for each window of ``k`` words: sums of word hashes by powers of a step, from running sums."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    hashes = hash_words(words)
+    n = max(0, len(hashes) - k + 1)
     out = []
     for step in _STEPS:
-        powers, inverses = _powers(step, len(words))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-        out.append(mix((sums[k:] - sums[:-k]) * inverses[:n]))
+        up, down = powers(step, len(hashes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+        out.append(mix((sums[k:] - sums[: len(sums) - k]) * down[:n]) if n else np.empty(0, np.uint64))
     return out[0], out[1]
 
 
@@ -75,8 +58,8 @@ class Hashing:
     key_bits: int = 64
     check: str = "<u2"
 
-    def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        keys, check = edge_keys(words, self.k)
+    def edges(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, check = edge_keys(hashes, self.k)
         lost = np.uint64(64 - self.key_bits)
         return (keys >> lost) << lost, check.astype(self.check)
 
@@ -103,14 +86,15 @@ class Edges:
         self.table = table
         ids = table.column(id_column).combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         self.ids = ids
-        self.words = [words_of(t) for t in table.column("text").to_pylist()]
-        made: list[list] = [[], [], [], []]
-        for row in np.argsort(ids, kind="stable").tolist():
-            keys, check = hashing.edges(self.words[row])
-            for column, value in zip(made, (keys, check, np.full(len(keys), row, np.int64), np.arange(len(keys), dtype=np.int64))):
-                column.append(value)
-        types = (np.uint64, hashing.check, np.int64, np.int64)
-        keys, check, self.rows, self.at = (np.concatenate(x) if x else np.empty(0, t) for x, t in zip(made, types))
+        hashes, bounds = word_hashes(table.column("text").combine_chunks())
+        self.n_words = np.diff(bounds)
+        keys, check = hashing.edges(hashes)
+        by_id = np.argsort(ids, kind="stable")
+        counts = np.maximum(self.n_words - hashing.k + 1, 0)[by_id]  # windows inside each document
+        self.rows = np.repeat(by_id, counts)
+        self.at = np.arange(len(self.rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = bounds[self.rows] + self.at
+        keys, check = keys[place], check[place]
         order, begins, self.which = grouped(keys, check)
         first = order[begins]
         self.distinct, self.check = keys[first], check[first]
@@ -132,14 +116,11 @@ class First:
     def merge(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         keys, check, ids, at = columns
         order, begins, which = grouped(keys, check)
-        first = order[begins]
+        least = np.minimum.reduceat(ids[order], begins)
         sizes = np.diff(np.append(begins, len(keys)))
-        shared = order[np.repeat(sizes > 1, sizes)]  # entries of edges that two children or more sent
-        shared = shared[np.lexsort((at[shared], ids[shared], which[shared]))]
-        heads = np.ones(len(shared), bool)
-        heads[1:] = which[shared[1:]] != which[shared[:-1]]
-        first[which[shared[heads]]] = shared[heads]
-        return which, [c[first] for c in columns]
+        place = np.minimum.reduceat(np.where(ids[order] == np.repeat(least, sizes), at[order], np.iinfo(np.uint32).max), begins)
+        first = order[begins]
+        return which, [keys[first], check[first], least, place]
 
     def patch(self, merged: list[np.ndarray], replies: list[tuple[int, int, bytes]]) -> None:
         for begin, n, data in replies:
@@ -165,22 +146,20 @@ def compact(flags: np.ndarray, source_id: np.ndarray, source_at: np.ndarray, k:
     return [(int(a), int(b) + k, int(source_id[a]), int(source_at[a])) for a, b in zip(starts, ends)]
 
 
-def _solve(edges: Edges, replies: pa.Table, tree: Tree, how: First, k: int) -> list[tuple[list[bytes], np.ndarray, list[tuple[int, int, int, int]]]]:
-    """(words, which of them stay, spans) of each document of the group, in the table's order."""
+def _solve(edges: Edges, replies: pa.Table, tree: Tree, how: First, k: int) -> list[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    """(which words stay, spans) of each document of the group, in the table's order."""
     places = [edges.distinct, edges.check, edges.first_id.copy(), edges.first_at.copy()]
     how.patch(places, tree.ranges(replies, edges.distinct))
     window_id, window_at = places[2][edges.which], places[3][edges.which]
     flags = window_id < edges.ids[edges.rows]
-    out: list = [None] * len(edges.words)
+    out: list = [(np.ones(n, bool), []) for n in edges.n_words.tolist()]
     bounds = np.flatnonzero(np.append(True, edges.rows[1:] != edges.rows[:-1])) if len(edges.rows) else np.empty(0, int)
-    place = {int(edges.rows[a]): (a, b) for a, b in zip(bounds, np.append(bounds[1:], len(edges.rows)))}
-    for row, words in enumerate(edges.words):
-        a, b = place.get(row, (0, 0))
-        spans = compact(flags[a:b], window_id[a:b], window_at[a:b], k)
-        stay = np.ones(len(words), bool)
-        for start, end, _, _ in spans:
-            stay[start:end] = False
-        out[row] = (words, stay, spans)
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(edges.rows)]):
+        if flags[a:b].any():
+            stay, spans = out[edges.rows[a]]
+            spans += compact(flags[a:b], window_id[a:b], window_at[a:b], k)
+            for start, end, _, _ in spans:
+                stay[start:end] = False
     return out
 
 
@@ -195,7 +174,8 @@ def _exchange(docs: DataFrame, id_column: str, hashing: Hashing, **shape: int) -
     return groups.select("gid", "docs"), replies.select(F.col("child").alias("gid"), "node", "n", "data"), tree, how
 
 
-def _kept(words: list[bytes], stay: np.ndarray) -> bytes:
+def _kept(text: str | None, stay: np.ndarray) -> bytes:
+    words = words_of(text)
     return b" ".join(words if stay.all() else [w for w, s in zip(words, stay.tolist()) if s])
 
 
@@ -215,10 +195,10 @@ def repeated_passages(docs: DataFrame, hashing: Hashing = Hashing(), **shape: in
             made.append(
                 pa.table({
                     "doc_id": edges.table.column("doc_id").combine_chunks(),
-                    "n_words": pa.array([len(w) for w, _, _ in solved], pa.int64()),
-                    "n_removed": pa.array([int((~stay).sum()) for _, stay, _ in solved], pa.int64()),
-                    "kept_sha256": pa.array([hashlib.sha256(_kept(w, stay)).hexdigest() for w, stay, _ in solved], pa.string()),
-                    "spans": pa.array([[dict(zip(("start", "end", "source_id", "source_start"), s)) for s in spans] for _, _, spans in solved], SPANS),
+                    "n_words": pa.array(edges.n_words, pa.int64()),
+                    "n_removed": pa.array([int((~stay).sum()) for stay, _ in solved], pa.int64()),
+                    "kept_sha256": pa.array([hashlib.sha256(_kept(t, stay)).hexdigest() for t, (stay, _) in zip(edges.table.column("text").to_pylist(), solved)], pa.string()),
+                    "spans": pa.array([[dict(zip(("start", "end", "source_id", "source_start"), s)) for s in spans] for _, spans in solved], SPANS),
                 })
             )
         return pa.concat_tables(made)
@@ -241,7 +221,7 @@ def without_repeats(docs: DataFrame, hashing: Hashing = Hashing(), **shape: int)
         for packed in left.column("docs"):
             table = unpack_table(packed.as_buffer())
             solved = _solve(Edges(table, hashing, own), right, tree, how, hashing.k)
-            texts = [old if stay.all() else _kept(words, stay).decode("utf-8", "surrogatepass") for old, (words, stay, _) in zip(table.column("text").to_pylist(), solved)]
+            texts = [old if stay.all() else _kept(old, stay).decode("utf-8", "surrogatepass") for old, (stay, _) in zip(table.column("text").to_pylist(), solved)]
             at = table.column_names.index("text")
             made.append(table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).drop_columns([own]))
         return pa.concat_tables(made)

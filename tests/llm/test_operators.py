@@ -174,12 +174,29 @@ def test_exchange_runs():
 
 def test_windows_by_running_sums():
     rng = random.Random(3)
-    w = [str(rng.randint(0, 3)).encode() for _ in range(9000)]
-    keys, check = substring.edge_keys(w)
+    w = [str(rng.randint(0, 3)) for _ in range(9000)]
+    hashes, _ = common.word_hashes(pa.array([" ".join(w)]))
+    keys, check = substring.edge_keys(hashes)
     assert len(keys) == len(check) == len(w) - 12
-    again = substring.edge_keys(w[4000:4013])
+    again = substring.edge_keys(hashes[4000:4013])
     assert keys[4000] == again[0][0] and check[4000] == again[1][0]
     assert len(set(keys.tolist())) == len(set(check.tolist())) == len({tuple(w[i : i + 13]) for i in range(len(w) - 12)})
+    assert [len(x) for x in substring.edge_keys(hashes[:12])] == [0, 0]
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(5)
+    found = [t for t in texts() for _ in range(2)] + ["A\x00 b\u00a0c \x1c d", "x" * 70, " ", None, "", "".join(rng.choice("aB \n\t\r\x0b\x0cé") for _ in range(3000))]
+    for size in (common._HASH_BYTES, 7):
+        monkeypatch.setattr(common, "_HASH_BYTES", size)
+        for lower in (False, True):
+            hashes, bounds = common.word_hashes(pa.array(found, pa.string())[1:], lower)
+            lists = [words(low(t) if lower else t) for t in found[1:]]
+            assert np.diff(bounds).tolist() == [len(x) for x in lists]
+            by_hash = dict(zip(hashes.tolist(), (x for own in lists for x in own)))
+            assert [by_hash[h] for h in hashes.tolist()] == [x for own in lists for x in own]
+            assert len(by_hash) == len({x for own in lists for x in own})
+    assert [len(x) for x in common.word_hashes(pa.array([], pa.string()))] == [0, 1]
 
 
 def slow_fingerprint(text):
