@@ -74,6 +74,36 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_topk_prunes_pairs(spark, sf):
+    """Most pairs of the test vectors, which have no clusters, are told apart by bounds; of clustered ones nearly all."""
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").collect()
+    vectors = [(r.vec_id, r.embedding) for r in rows if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    clustered = [(i, (centres[i % 40] + rng.normal(0, 0.1, 64)).tolist()) for i in range(2000)]
+    for given, least in ((vectors, 0.8), (clustered, 0.95)):
+        ids = np.array([i for i, _ in given])
+        x = np.floor(1024 * np.array([v for _, v in given])).astype(np.int64)
+        column = pa.array(x.astype(float).tolist())
+        asked = np.flatnonzero(ids % 100 == 0)
+        (tile,) = topk.tiles_of(ids[asked], column.take(pa.array(asked)), ids[::4], column.take(pa.array(np.arange(0, len(ids), 4))), 10)[64]
+        for at in range(0, len(x), 300):
+            tile.take(ids[at : at + 300], x[at : at + 300])
+        assert tile.pairs == len(asked) * len(ids)
+        assert 1 - tile.scored / tile.pairs >= least
+        for q, best in zip(asked, tile.best):
+            scores = x @ x[q]
+            want = sorted((-int(scores[j]), int(ids[j])) for j in range(len(ids)) if j != q)[:10]
+            assert [(-s, -i) for s, i in best] == want
+
+
+def test_topk_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=9).tolist()) for i in range(300)], "vec_id long, embedding array<double>").repartition(4)
+    want = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 5 = 0"), k=4).collect()))
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 5 = 0"), k=4, block=7).collect())) == want
+
+
 def test_topk_huge_components(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
