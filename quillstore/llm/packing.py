@@ -6,8 +6,8 @@ third of the capacity meet at most in pairs: from the largest down, each is matc
 with the largest that still fits (a matching of greatest size).  Smaller lengths, from
 the largest down, go to the fullest sequence with room, else to a new one.  The plan
 lists, for each length, ranges of ranks and where they go; pieces get their rank inside
-their length from counts of hash buckets, so a length that holds a third of all pieces
-is ranked by many tasks.
+their length from counts of buckets of neighbouring pieces, so a length that holds a
+third of all pieces, or a row that is there a million times, is ranked by many tasks.
 
 Defined results: a null or empty text is the end token alone, one piece of length 1; a
 text longer than the capacity is cut into pieces of the capacity, the last one shorter;
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Generations, arrow_batches, materialize
 from .token_counts import CHUNKS, WordBpe, chunks_of
 
-#: Pieces that one rank bucket holds on average.
-RANK_BUCKET = 200_000
+#: Pieces that one rank bucket holds at most: neighbours in a partition, whatever their length and ids.
+RANK_BUCKET = 1 << 16
 
 
 class WordIds:
@@ -163,16 +163,15 @@ def piece_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset."""
     spark = docs.sparkSession
-    pieces = materialize(piece_documents(docs, path, capacity, end_id), "pieces")
+    # Each piece gets a number, settled once it is written: neighbours in a partition count up by one.
+    pieces = materialize(piece_documents(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     rows, _ = plan(histogram, capacity)
     table = np.array(rows, dtype=np.int64).reshape(len(rows), 5)
     shared = spark.sparkContext.broadcast(table)  # rows within a multiple of the capacity
 
-    n_buckets = max(1, -(-sum(histogram.values()) // RANK_BUCKET))
-    tie = ["doc_id", "piece", "ids_crc32", "start"]
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*tie), F.lit(n_buckets)))
-    inside = keyed.withColumn("inside", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*tie)) - 1)
+    keyed = pieces.withColumn("bucket", F.floor(F.col("row") / F.lit(RANK_BUCKET)))
+    inside = keyed.withColumn("inside", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
