@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, Generations, arrow_batches
 
 #: Characters of text, and bytes of a pre-token, that a leaf holds at most.
-LEAF_CHARS, LEAF_BYTES = 4096, 48
+LEAF_CHARS, LEAF_BYTES = 512, 2048
 #: Characters of the pattern's longest literal alternative.
 LOOK_AHEAD = 3
 
