@@ -556,3 +556,71 @@ def test_quality(docs, empty):
 def test_quality_is_native(docs):
     plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_stops_at_the_first_rejection(docs, monkeypatch):
+    monkeypatch.setattr(quality, "order_rules", lambda docs, rules=quality.RULES: list(rules))
+    bomb = quality.Rule("bomb", ("n_words",), "IF(n_words < 10, CAST(raise_error('a rejected row went on') AS BOOLEAN), false)")
+    rules = (quality.RULES[0], bomb)
+    want = Counter(d for d, t in rows_of(docs) if slow_quality(t)[0] >= 10)
+    assert Counter(r.doc_id for r in quality.keep_good(docs, rules).collect()) == want
+    assert Counter(r.doc_id for r in quality.judge(docs, rules).collect() if r.kept) == want
+    with pytest.raises(Exception, match="a rejected row went on"):
+        quality.keep_good(docs, rules[::-1]).collect()
+
+
+def test_quality_orders_by_what_is_left_to_reject(spark):
+    """After a rule that rejects all that another one does, the other one is worth nothing."""
+    rows = [(i, "few words") for i in range(40)] + [(100 + i, "# " * 30 + " ".join(f"word{j}" for j in range(20))) for i in range(10)] + [(200 + i, " ".join(f"word{j}" for j in range(60))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide, narrow, other = quality.Rule("wide", ("n_words",), "n_words < 10"), quality.Rule("narrow", ("n_words",), "n_words < 9"), quality.Rule("other", ("n_words", "n_symbols"), "10 * n_symbols > n_words")
+    names = [r.name for r in quality.order_rules(docs, (other, narrow, wide))]
+    assert sorted(names) == ["narrow", "other", "wide"] and names.index("other") < 2
+
+
+def test_packing_of_rows_that_are_all_alike(spark):
+    docs = spark.createDataFrame([(None, "")] * 9000 + [(7, "one two three")] * 3000, "doc_id long, text string").repartition(3)
+    out = packing.pack_documents(docs, WORDS, capacity=64).collect()
+    assert len(out) == 12000
+    sizes = [(r.sequence_id, r.offset, r.length) for r in out]
+    assert check_sequences(sizes, 64) == -(-sum(n for _, _, n in sizes) // 64)
+
+
+def test_pii_columns(docs):
+    """The query's columns worked out from slow spans."""
+    rng = random.Random(9)
+    extra = ["".join(rng.choice("a1.2@-+ (%)9b3٣é45") for _ in range(60)) for _ in range(40)] + ["4539 1488 0343 6467, 10.0.0.1 and a@b.org, +1 555 123 4567"]
+    given = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(list(enumerate(extra)), "doc_id long, text string"))
+    want = Counter()
+    for d, t in rows_of(given):
+        spans = slow_pii(t or "")
+        counts = [sum(kind == k for kind, _, _ in spans) for k in pii.BASE_KINDS]
+        want[d, *counts, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()] += 1
+    out = pii.detect(given).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
+    for r in out:
+        own = [s.split(":") for s in r.spans.split(",") if s]
+        base = [s for s in own if s[0] in pii.BASE_KINDS]
+        assert hashlib.sha256(",".join(":".join(s) for s in base).encode()).hexdigest() == r.base_sha256
+        order = [(pii.KINDS.index(k), int(a)) for k, a, _ in own]
+        assert order == sorted(order) and len(r.scores) == len(own)
+
+
+def test_very_long_texts(spark):
+    """A text of megabytes, one word of a megabyte, and a text without a space go through every operator."""
+    rng = random.Random(10)
+    long = " ".join(rng.choice(["stone", "river", "über", "a1", "日本"]) + str(rng.randint(0, 9999)) for _ in range(200_000))
+    rows = [(1, long), (2, long[700_000:900_000]), (3, "x" * 1_000_000), (4, "é" * 100_000), (5, None)]
+    docs = spark.createDataFrame([(d, t, d, "k") for d, t in rows], "doc_id long, text string, n_tokens int, score string")
+    library = Tokenizer.from_file(WORDS)
+    ids = {d: len(library.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS).collect()} == ids
+    plain = bpe.encoder(BPE, public_tokenizers.PATTERN)._plain
+    assert {r.doc_id: r.n_tokens for r in bpe.encode_documents(docs, BPE, public_tokenizers.PATTERN).collect()} == {d: len(plain.encode_ordinary(t or "")) for d, t in rows}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()} == {d: f"{slow_fingerprint(t):016x}" for d, t in rows}
+    by_id = {r.doc_id: r for r in substring.repeated_passages(docs).collect()}
+    assert by_id[1].n_removed == 0 and by_id[2].n_removed >= by_id[2].n_words - 2 > 1000
+    assert sum(r.length for r in packing.pack_documents(docs, WORDS).collect()) == sum(ids.values()) + len(rows)
+    assert {r.doc_id: r.n_tokens for r in lm.score_documents(docs).collect()} == {d: len(words(t)) + 1 for d, t in rows}
+    assert {r.doc_id: r.n_words for r in quality.judge(docs).collect()} == {d: len(words(t)) for d, t in rows}
+    assert pii.detect(docs).count() == len(rows)
