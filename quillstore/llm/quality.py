@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 #: Texts that the estimate of cost and selectivity takes at most, the longest of them, the share of rows they are drawn from, and how often each is timed; it decides the order of rules only.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SHARE, SAMPLE_SEED, SAMPLE_TIMES = 512, 100_000, 0.05, 7, 4
 LEAST_SECONDS = 2.0**-8
-SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
 
 
@@ -46,7 +45,16 @@ BASE_RULES = ("too_few_words", "repeated_passages")
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _without(text: Column, characters: str) -> Column:
+    """``text`` without some ASCII characters; a pass over its bytes for each is faster than a look-up for each character."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def _lines(text: Column) -> Column:
@@ -66,8 +74,14 @@ def _repeats(have: DataFrame, into: str) -> DataFrame:
     size = lambda name: F.size(own(name))
 
     have = more(have, "wh", F.transform(own("w"), lambda w: F.xxhash64(w)))
-    windows = F.transform(F.sequence(F.lit(0), size("wh") - WINDOW), lambda i: F.xxhash64(*[F.get(own("wh"), i + k) for k in range(WINDOW)]))
-    have = more(have, "h", F.when(size("wh") > WINDOW, windows))
+    # Windows of 2 and 4 words, then 5: each pass hashes pairs, which is cheaper than looking up five places.
+    def joined(a: str, b: str, step: int, width: int) -> Column:
+        n = size("wh") - (width - 1)
+        return F.when(size("wh") > WINDOW, F.zip_with(F.slice(own(a), F.lit(1), n), F.slice(own(b), F.lit(1 + step), n), lambda x, y: F.xxhash64(x, y)))
+
+    have = more(have, "h2", joined("wh", "wh", 1, 2))
+    have = more(have, "h4", joined("h2", "h2", 2, 4))
+    have = more(have, "h", joined("h4", "wh", 4, 5))
     keyed = F.sort_array(F.zip_with(own("h"), F.sequence(F.lit(0), size("h") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     have = more(have, "k", F.when(F.size(F.array_distinct(own("h"))) < size("h"), keyed))
     equal = lambda j, k: (F.get(own("k"), j)["h"] == F.get(own("k"), k)["h"]).eqNullSafe(F.lit(True))
@@ -83,7 +97,7 @@ def with_measures(docs: DataFrame, measures: set[str], text: str = "text", into:
     have = docs.withColumn(into, F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")))
     t = F.col(f"{into}.t")
     first: list[Column] = []
-    if measures & {"n_words", "n_repeat_words"}:
+    if measures & {"n_words", "n_repeat_words", "word_chars"}:
         first.append(_words(t).alias("w"))
     if measures & {"n_dup_lines", "n_lines"}:
         first.append(_lines(t).alias("l"))
@@ -93,9 +107,9 @@ def with_measures(docs: DataFrame, measures: set[str], text: str = "text", into:
     if "n_words" in measures:
         out.append(F.size(own("w")).cast("bigint").alias("n_words"))
     if "word_chars" in measures:
-        out.append(F.char_length(F.regexp_replace(t, SPACE + "+", "")).cast("bigint").alias("word_chars"))
+        out.append(F.char_length(F.array_join(own("w"), "")).cast("bigint").alias("word_chars"))
     if "n_symbols" in measures:
-        out.append((F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"))
+        out.append((F.octet_length(t) - F.octet_length(_without(t, "#*$%&|<>"))).cast("bigint").alias("n_symbols"))
     if "n_dup_lines" in measures:
         out.append((F.size(own("l")) - F.size(F.array_distinct(own("l")))).cast("bigint").alias("n_dup_lines"))
     if "n_lines" in measures:
