@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 
-from .registry import UDFS, define, same
+from .registry import RANDOM, UDFS, define, same
 
 same("md5 sha1 sha", 1, 1)
 define("sha2", 2, 2, "CASE WHEN ({1}) IN (0, 224, 256, 384, 512) THEN sha2({0}, CAST({1} AS INT)) END")
@@ -73,4 +73,5 @@ define(
 )
 define("encode", 2, 2, "quill_stream(CAST({0} AS BINARY), {1})")
 define("decode", 2, 2, "quill_stream(CAST({0} AS BINARY), {1})")
+RANDOM.add("quill_random_bytes")
 define("random_bytes", 1, 1, "quill_random_bytes(CAST({0} AS BIGINT))")

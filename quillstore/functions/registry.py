@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 
 class UnsupportedFunction(ValueError):
@@ -27,8 +29,10 @@ class Function:
 
 
 REGISTRY: dict[str, Function] = {}
-#: SQL name -> (function, return type) of the UDFs.
+#: SQL name -> (function of single values, return type) of the UDFs, and those that give something else each time.
 UDFS: dict[str, tuple[Callable, str]] = {}
+RANDOM: set[str] = set()
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
 def define(names: str, least: int, most: int | None, build: Callable[..., str] | str) -> None:
@@ -85,14 +89,23 @@ def call(name: str, *args: str | int | float | None) -> Column:
 
 
 def install(spark: SparkSession) -> SparkSession:
-    """Register the UDFs under their names in this session."""
-    from pyspark.sql.functions import udf
-
+    """Register the UDFs under their names in this session; they take and give Arrow arrays."""
     for name, (fn, kind) in UDFS.items():
-        spark.udf.register(name, udf(fn, kind, useArrow=True))
+        made = F.arrow_udf(batched(fn, kind), kind, ArrowUDFType.SCALAR)
+        spark.udf.register(name, made.asNondeterministic() if name in RANDOM else made)
     return spark
 
 
+def batched(fn: Callable, kind: str) -> Callable[..., pa.Array]:
+    """``fn`` of single values over whole arrays."""
+    made = ARROW[kind]
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([fn(*row) for row in zip(*(c.to_pylist() for c in columns))], made)
+
+    return run
+
+
 def _load() -> None:
     from . import compare, crypto, info, json_text, maths, misc, strings, times  # noqa: F401
 

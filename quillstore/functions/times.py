@@ -57,7 +57,18 @@ define("timestampdiff", 3, 3, lambda unit, a, b: f"timestampdiff({unit_of(unit)}
 
 
 def micros(a: str) -> str:
-    """Microseconds of a TIME text, or of the time of day of a timestamp."""
+    """Microseconds of a TIME text, or of the time of day of a timestamp.
+
+    What reads as a timestamp, or as a time of day, is read by a cast; only other texts
+    (hours above 23, signs) go through a pattern.
+    """
+    text = f"CAST({a} AS STRING)"
+    moment = f"try_cast({text} AS TIMESTAMP_NTZ)"
+    of_day = f"timestampdiff(MICROSECOND, CAST(CAST({moment} AS DATE) AS TIMESTAMP_NTZ), {moment})"
+    return f"CASE WHEN contains({text}, ':') THEN coalesce({of_day}, {_long_micros(a)}) END"
+
+
+def _long_micros(a: str) -> str:
     text = f"element_at(split(trim(CAST({a} AS STRING)), ' '), -1)"
     bare = f"ltrim('-', {text})"
     field = lambda i: f"CAST(coalesce(nullif(try_element_at(split({bare}, ':'), {i}), ''), '0') AS DECIMAL(20, 6))"
