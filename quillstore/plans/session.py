@@ -30,7 +30,7 @@ class Session:
         self._statements: dict[str, Callable[[Rewriter], DataFrame]] = {
             "SELECT": self._query, "WITH": self._query, "(": self._query, "INSERT": self._insert, "REPLACE": self._insert, "UPDATE": self._update, "DELETE": self._delete, "CREATE": self._create, "DROP": self._drop,
             "ALTER": self._alter, "SPLIT": self._split, "SHOW": self._show, "DESC": self._describe, "DESCRIBE": self._describe, "EXPLAIN": self._describe, "SET": self._set, "USE": self._use, "BEGIN": self._begin,
-            "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback, "PREPARE": self._prepare, "EXECUTE": self._execute, "DEALLOCATE": self._deallocate,
+            "START": self._begin, "COMMIT": self._commit, "ROLLBACK": self._rollback, "PREPARE": self._prepare, "EXECUTE": self._execute, "DEALLOCATE": self._deallocate, "TRUNCATE": self._truncate, "LOAD": self._load_data,
         }
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
@@ -488,6 +488,12 @@ class Session:
         work.take()
         work.expect("TABLE")
         at = self._where(self._name(work))
+        if work.accept("DROP"):
+            work.accept("COLUMN")
+            name = self._name(work).strip("`")
+            self._end(work)
+            self.store.drop_column(*at, name)
+            return self._done()
         work.expect("ADD")
         work.accept("COLUMN")
         column = self._column(work, None)
@@ -495,6 +501,49 @@ class Session:
         self.store.add_column(*at, column)
         return self._done()
 
+    def _truncate(self, work: Rewriter) -> DataFrame:
+        work.take()
+        work.accept("TABLE")
+        meta, df = self._load(self._name(work))
+        self._end(work)
+        self.store.rewrite(meta, df.limit(0))
+        self._save(meta)
+        return self._done()
+
+    def _load_data(self, work: Rewriter) -> DataFrame:
+        """LOAD DATA INFILE 'path' [REPLACE | IGNORE] INTO TABLE t [FIELDS TERMINATED BY 'c'] [IGNORE n LINES] [(columns)]: a file of any Hadoop file system."""
+        work.take()
+        work.expect("DATA")
+        work.expect("INFILE")
+        kind, text = work.take()
+        if kind != "string":
+            raise SqlError("LOAD DATA takes a path as a string")
+        verb = "REPLACE INTO" if work.accept("REPLACE") else "INSERT IGNORE INTO" if work.accept("IGNORE") else "INSERT INTO"
+        work.expect("INTO")
+        work.expect("TABLE")
+        name = self._name(work)
+        meta, _ = self._load(name)
+        separator, header = "\t", False
+        if work.accept("FIELDS"):
+            work.expect("TERMINATED")
+            work.expect("BY")
+            separator = string_value(work.take()[1])
+        if work.accept("IGNORE"):
+            if work.take()[1] != "1":
+                raise SqlError("only IGNORE 1 LINES is supported")
+            work.expect("LINES")
+            header = True
+        columns = [c.name for c in meta.columns]
+        if work.word() == "(":
+            columns = [meta.column(c.strip("`")).name for c in work.parenthesised_names()[1:-1].split(", ")]
+        self._end(work)
+        schema = ", ".join(f"`{c}` {meta.column(c).type}" for c in columns)
+        rows = self.spark.read.schema(schema).csv(string_value(text), sep=separator, header=header, nullValue="\\N", enforceSchema=True)
+        view = f"quill_load_{id(rows)}"
+        rows.createOrReplaceTempView(view)
+        named = ", ".join(f"`{c}`" for c in columns)
+        return self._insert(Rewriter(f"{verb} {name} ({named}) SELECT {named} FROM {view}"))
+
     def _split(self, work: Rewriter) -> DataFrame:
         """SPLIT TABLE t [BETWEEN (a) AND (b)] REGIONS n, or BY (a), (b), ...: keys and rows of each region.
 

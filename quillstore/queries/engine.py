@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import families, mutate
+from ..operators.joins import asof_join, range_join
 from ..operators.keys import KeySet
 from ..operators.scan import batch_get, count_rows, scan
 from ..sources.files import table
@@ -425,5 +426,21 @@ def split_ranges(spark, sf_dir):
     return out.select("regions", "first_key", "last_key", "n", apart.alias("apart"))
 
 
+@query(
+    "SELECT c.event_id, c.user_id, c.ts, p.value AS last_value, p.event_id AS last_id FROM (SELECT * FROM events WHERE event_type <> 'purchase') AS c"
+    " ASOF LEFT JOIN (SELECT user_id, ts, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) AS p ON c.user_id = p.user_id AND c.ts >= p.ts"
+)
+def join_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("last_value"), F.max("event_id").alias("last_id"))
+    return asof_join(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["last_value", "last_id"])
+
+
+@query("SELECT p.p_partkey, s.s_suppkey FROM part AS p JOIN supplier AS s ON p.p_retailprice >= s.s_acctbal AND p.p_retailprice < s.s_acctbal + 25")
+def join_range(spark, sf_dir):
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 25).alias("hi"))
+    return range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), spans, "p_retailprice", "lo", "hi", 25.0).select("p_partkey", "s_suppkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_range_slice(spark, sf_dir)

@@ -66,6 +66,8 @@ _orders("sql_delete_alias", f"SELECT {_C} FROM orders WHERE NOT (o_custkey < 50
 _orders("sql_delete_limit", f"SELECT {_C} FROM orders ORDER BY o_orderkey DESC OFFSET 10", "DELETE FROM o ORDER BY o_orderkey DESC LIMIT 10")
 _orders("sql_transaction", f"SELECT {_C} FROM orders WHERE o_custkey >= 50", "BEGIN", "DELETE FROM o WHERE o_custkey < 50", "COMMIT", "START TRANSACTION", "DELETE FROM o", "ROLLBACK")
 _orders("sql_alter_add", f"SELECT {_C}, CAST(CASE WHEN o_custkey < 50 THEN 2.0 ELSE 1.5 END AS DOUBLE) AS extra FROM orders", "ALTER TABLE o ADD COLUMN extra DOUBLE DEFAULT 1.5", "UPDATE o SET extra = 2 WHERE o_custkey < 50", read=f"SELECT {_C}, extra FROM o")
+_orders("sql_alter_drop", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 10", "ALTER TABLE o DROP COLUMN o_orderstatus", "DELETE FROM o WHERE o_orderkey < 10", read="SELECT * FROM o")
+_orders("sql_truncate", f"SELECT {_C} FROM orders WHERE o_custkey = 42", "CREATE TABLE p (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_orderstatus VARCHAR(1), o_totalprice DOUBLE)", "INSERT INTO p SELECT * FROM o WHERE o_custkey = 42", "TRUNCATE TABLE o", "INSERT INTO o SELECT * FROM p")
 _orders("sql_describe", "SELECT 'o_orderkey' AS Field, 'bigint' AS \"Type\", 'NO' AS \"Null\", 'PRI' AS \"Key\" UNION ALL SELECT 'o_custkey', 'bigint', 'YES', 'MUL' UNION ALL SELECT 'o_orderstatus', 'string', 'YES', '' UNION ALL SELECT 'o_totalprice', 'double', 'YES', ''",
         "CREATE INDEX by_customer ON o (o_custkey)", read="DESC o")
 _orders("sql_show", "SELECT 'o' AS Tables_in_d", "CREATE DATABASE e", "CREATE TABLE gone (a BIGINT PRIMARY KEY)", "DROP TABLE gone", "DROP DATABASE e", read="SHOW TABLES LIKE '%'")
@@ -241,3 +243,50 @@ _KEYS = [((bytearray(b"%03d" % i),), []) for i in range(30)]
 _streamed("streaming_read", f"SELECT {_ROW} AS row, CAST(CASE WHEN n_regionkey IN (1, 2) THEN 2 ELSE 1 END AS INTEGER) AS cells FROM nation", lambda c: [(r.key.row.decode(), len(r.cells)) for r in c.streaming_read("d", "n", KeySet.all())])
 _streamed("streaming_sparse_read", f"SELECT {_ROW} AS row, 1 AS cells FROM nation", lambda c: [(r.row.decode(), len(r.f)) for r in c.streaming_sparse_read("d", "n", "f", _KEYS)])
 _streamed("streaming_sparse_scan", f"SELECT {_ROW} AS row, 1 AS cells FROM nation WHERE n_regionkey IN (1, 2)", lambda c: [(r.row.decode(), len(r.g)) for r in c.streaming_sparse_scan("d", "n", "g", KeySet.all())])
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def sql_load_data(spark, sf_dir):
+    session = a_session(spark, sf_dir, load=False)
+    views(spark, sf_dir, "nation")
+    path = f"{session.store.root}/nation.csv"
+    spark.table("nation").select("n_nationkey", "n_name").write.csv(path, sep="|", header=True)
+    session.sql("CREATE TABLE n (n_nationkey BIGINT PRIMARY KEY, n_name VARCHAR(30))")
+    session.sql(f"LOAD DATA INFILE '{path}' INTO TABLE n FIELDS TERMINATED BY '|' IGNORE 1 LINES (n_nationkey, n_name)")
+    return session.sql("SELECT n_nationkey, n_name FROM n")
+
+
+def _format(kind: str, **options: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..sources import files
+
+        orders = files.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        path = f"{scratch_root(spark)}/files-{uuid.uuid4().hex}"
+        files.write(orders, path, kind, **options)
+        return files.read(spark, path, kind, "o_orderkey bigint, o_custkey bigint, o_orderstatus string", **options)
+
+    run.__name__ = f"files_{kind}"
+    query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus FROM orders")(run)
+
+
+_format("parquet")
+_format("orc")
+_format("json")
+_format("csv", header="true")
+
+
+@query(f"SELECT {_ROW} AS row, 'f:name' AS cell, n_name AS value FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT {_ROW}, 'g:region', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (3, 1) AND n_regionkey IN (1, 2) UNION ALL SELECT '001', 'f:put', 'x' UNION ALL SELECT '000', 'f:n', '12'")
+def rows_admin(spark, sf_dir):
+    _, rows = _cells(spark, sf_dir)
+    rows.delete_all_row("n", b"003")
+    rows.delete_all("n", b"001", "g:")
+    rows.atomic_increment("n", b"000", "f:count", 5)
+    after = rows.increment_rows("n", [(b"000", "f:count", 9), (b"000", "f:count", -2)])[-1]
+    rows.delete_all("n", b"000", "f:count")
+    rows.check_and_put("n", b"001", "f:put", None, CellMutation("f:put", b"x"))
+    rows.check_and_put("n", b"001", "f:put", b"y", CellMutation("f:put", b"z"))
+    rows.mutate_row("n", b"000", [CellMutation("f:n", b"%d" % after)])
+    rows.disable_table("n")
+    rows.enable_table("n")
+    rows.compact("n")
+    return _found(spark, rows.scanner_get_list(rows.scanner_open("n"), 100))

@@ -58,6 +58,41 @@ class RowStore:
         meta = self.client.store.meta(self.database, name)
         return {f"{f}:": {"name": f"{f}:", "max_versions": int(meta.attributes.get("VERSION", 1))} for f in meta.flexible}
 
+    def delete_table(self, name: str) -> None:
+        self.client.drop_table(self.database, name)
+
+    def enable_table(self, name: str, enabled: bool = True) -> None:
+        meta = self.client.store.meta(self.database, name)
+        meta.attributes["enabled"] = str(int(enabled))
+        self.client.store.commit(meta)
+
+    def disable_table(self, name: str) -> None:
+        """Reads and writes raise until the table is enabled again."""
+        self.enable_table(name, False)
+
+    def is_table_enabled(self, name: str) -> bool:
+        return self.client.store.meta(self.database, name).attributes.get("enabled", "1") == "1"
+
+    def _enabled(self, name: str) -> None:
+        if not self.is_table_enabled(name):
+            raise StoreError(f"table {name} is disabled")
+
+    def compact(self, name: str) -> None:
+        """Merge the layers into a new base."""
+        store = self.client.store
+        meta = store.meta(self.database, name)
+        store.rewrite(meta, store.data(meta))
+        store.commit(meta)
+
+    major_compact = compact
+
+    def get_table_regions(self, name: str) -> list[bytes]:
+        """The first key of each file of the base, in order: the bounds that scans are cut by."""
+        store = self.client.store
+        meta = store.meta(self.database, name)
+        files = store.data(meta).groupBy(F.spark_partition_id()).agg(F.min("row").alias("row")).select("row")
+        return sorted(bytes(r.row) for r in files.collect())  # one for each partition
+
     # -- reads -------------------------------------------------------------------------
 
     def _families(self, table: str, columns: Sequence[str] | None) -> tuple[list[str], dict[str, list[str]]]:
@@ -92,6 +127,7 @@ class RowStore:
 
     def get_rows(self, table: str, rows: Sequence[bytes], columns: Sequence[str] | None = None) -> list[RowResult]:
         """In the order asked for; rows without a cell are left out."""
+        self._enabled(table)
         families, wanted = self._families(table, columns)
         found = self.client.sparse_read(self.database, table, families, [((bytearray(r),), []) for r in rows])
         by_row = {bytes(r["row"]): self._result(r, families, wanted) for r in found.collect()}  # as many as the request
@@ -101,6 +137,7 @@ class RowStore:
 
     def mutate_rows(self, table: str, batches: Sequence[tuple[bytes, Sequence[CellMutation]]]) -> None:
         """All of one call in one published version, in order; neighbouring puts, or deletes of one column, are one write."""
+        self._enabled(table)
         out: list[Mutation] = []
         for row, mutations in batches:
             for m in mutations:
@@ -120,10 +157,52 @@ class RowStore:
     def mutate_row(self, table: str, row: bytes, mutations: Sequence[CellMutation]) -> None:
         self.mutate_rows(table, [(row, mutations)])
 
+    def delete_all(self, table: str, row: bytes, column: str) -> None:
+        self.mutate_row(table, row, [CellMutation(column, is_delete=True)])
+
+    def delete_all_row(self, table: str, row: bytes) -> None:
+        self.client.mutate(self.database, table, [Mutation("delete", keys=KeySet.of((bytearray(row),)))])
+
+    def increment_rows(self, table: str, changes: Sequence[tuple[bytes, str, int]]) -> list[int]:
+        """Add to cells that hold 8-byte big-endian numbers (none: 0); the values after it, in order.  One published version, or a Conflict."""
+        self._enabled(table)
+        tx = self.client.begin()
+        now: dict[tuple[bytes, str], int] = {}
+        out = []
+        for row, column, amount in changes:
+            if (row, column) not in now:
+                family, qualifier = split_column(column)
+                found = self.client.sparse_read(self.database, table, family, [((bytearray(row),), [qualifier])], tx=tx).collect()
+                now[row, column] = int.from_bytes(found[0][family][qualifier].b or b"", "big", signed=True) if found else 0
+            now[row, column] += amount
+            out.append(now[row, column])
+        cells = tuple(((bytearray(row),), *split_column(column), value.to_bytes(8, "big", signed=True)) for (row, column), value in now.items())
+        if cells:
+            self.client.mutate(self.database, table, [Mutation("insert_or_update", cells=cells)], tx)
+        tx.commit()
+        return out
+
+    def atomic_increment(self, table: str, row: bytes, column: str, amount: int) -> int:
+        return self.increment_rows(table, [(row, column, amount)])[0]
+
+    def check_and_put(self, table: str, row: bytes, column: str, expected: bytes | None, mutation: CellMutation) -> bool:
+        """The put, if the cell holds ``expected`` (None: is not there); no other writer comes in between."""
+        self._enabled(table)
+        tx = self.client.begin()
+        family, qualifier = split_column(column)
+        found = self.client.sparse_read(self.database, table, family, [((bytearray(row),), [qualifier])], tx=tx).collect()
+        held = bytes(found[0][family][qualifier].b or b"") if found else None
+        if held != expected:
+            return False
+        self.client.mutate(self.database, table, [Mutation("insert_or_update", cells=(((bytearray(row),), *split_column(mutation.column), mutation.value),))], tx)
+        tx.commit()
+        return True
+
     # -- scanners ----------------------------------------------------------------------
 
     def scan(self, table: str, start: bytes = b"", stop: bytes | None = None, columns: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
         keys = KeySet(ranges=(KeyRange((bytearray(start),) if start else None, (bytearray(stop),) if stop else None),))
+        self._enabled(table)
         families, wanted = self._families(table, columns)
         found = self.client.sparse_scan(self.database, table, families, keys, reverse=reverse)
         if not wanted:

@@ -381,11 +381,22 @@ class Store:
             raise StoreError(f"column {column.name} exists")
         old = self.data(meta)
         meta.columns.append(column)
-        if column.default is not None:
-            self.publish(meta, old.withColumn(column.name, F.expr(column.default)))
+        again = column.name.lower() in meta.attributes.get("dropped", "").split()  # files may hold an old column of that name
+        if column.default is not None or again:
+            self.publish(meta, old.withColumn(column.name, F.expr(column.default or "NULL")))
         else:
             self.commit(meta)  # schema evolution: older files give NULL
 
+    def drop_column(self, database: str, name: str, column: str) -> None:
+        """The column goes from the schema; older files still hold it, and nothing reads it."""
+        meta = self.meta(database, name)
+        own = meta.column(column)
+        if own.name in meta.primary_key or any(own.name in i.columns for i in meta.indexes):
+            raise StoreError(f"{column} is part of a key of {name}")
+        meta.columns.remove(own)
+        meta.attributes["dropped"] = " ".join([meta.attributes.get("dropped", ""), own.name.lower()]).strip()
+        self.commit(meta)
+
     def create_index(self, database: str, name: str, index: Index) -> None:
         """An index with its entries; a unique one is checked against the rows there are."""
         meta = self.meta(database, name)

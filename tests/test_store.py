@@ -409,3 +409,57 @@ def test_long_lists_of_all_kinds(spark):
     whole = KeySet(keys=tuple((i, 1) for i in range(2000)))
     assert restrict(df, ["a", "b"], whole).count() == 60
     assert mutate.delete_keys(df, ["a", "b"], KeySet(keys=tuple((i,) for i in range(1001)))).count() == 31
+
+
+def test_row_administration(spark, store):
+    from quillstore.rows import CellMutation, RowStore
+
+    rows = RowStore(Client(spark, store), "d")
+    rows.create_table("h", ["f:"])
+    assert rows.atomic_increment("h", b"r", "f:n", 5) == 5
+    assert rows.increment_rows("h", [(b"r", "f:n", 1), (b"r", "f:n", -9), (b"s", "f:n", 2)]) == [6, -3, 2]
+    assert rows.check_and_put("h", b"r", "f:a", None, CellMutation("f:a", b"1")) and not rows.check_and_put("h", b"r", "f:a", b"2", CellMutation("f:a", b"3"))
+    assert rows.get("h", b"r", "f:a") == b"1"
+    rows.delete_all("h", b"r", "f:a")
+    rows.delete_all_row("h", b"s")
+    assert list(rows.get_row("h", b"r").columns) == ["f:n"] and rows.get_row("h", b"s") is None
+    rows.disable_table("h")
+    assert not rows.is_table_enabled("h")
+    for touch in (lambda: rows.get_row("h", b"r"), lambda: rows.delete_all("h", b"r", "f:n"), lambda: rows.scanner_open("h")):
+        with pytest.raises(StoreError):
+            touch()
+    rows.enable_table("h")
+    rows.major_compact("h")
+    assert [kind for kind, _ in store.meta("d", "h").layers] == ["base"] and rows.get_table_regions("h") == [b"r"]
+    rows.delete_table("h")
+    assert rows.get_table_names() == []
+
+
+def test_asof_and_range_joins_against_a_model(spark):
+    from quillstore.operators.joins import asof_join, range_join
+
+    rng, start = random.Random(4), datetime.datetime(2024, 1, 1)
+    moment = lambda: start + datetime.timedelta(minutes=rng.randint(0, 9000))
+    left = [(rng.choice([None, "a", "b"]), moment(), i) for i in range(300)]
+    right = [(k, t, i) for i, (k, t) in enumerate({(rng.choice([None, "a", "c"]), moment()) for _ in range(60)})]
+    a, b = spark.createDataFrame(left, "k string, t timestamp, i int"), spark.createDataFrame(right, "k string, t timestamp, v int")
+    want = [(i, max(((u, v) for q, u, v in right if q == k and u <= t), default=(None, None))[1]) for k, t, i in left]
+    for step in ("10 minutes", "1 day", "52 weeks"):
+        assert sorted((r.i, r.v) for r in asof_join(a, b, ["k"], "t", ["v"], step).collect()) == sorted(want)
+    points, spans = [rng.uniform(-9, 9) for _ in range(200)], [(x, x + rng.uniform(-1, 4)) for x in (rng.uniform(-9, 9) for _ in range(40))]
+    p, s = spark.createDataFrame([(x,) for x in points], "p double"), spark.createDataFrame(spans, "lo double, hi double")
+    got = sorted((r.p, r.lo) for r in range_join(p, s, "p", "lo", "hi", 1.5).collect())
+    assert got == sorted((x, lo) for x in points for lo, hi in spans if lo <= x < hi)
+
+
+def test_columns_dropped_and_added_again(session):
+    three(session)
+    session.sql("ALTER TABLE t DROP COLUMN w")
+    session.sql("ALTER TABLE t ADD COLUMN w BIGINT")
+    assert rows_in(session, "SELECT w FROM t") == [(None,)] * 3
+    session.sql("CREATE INDEX i ON t (v)")
+    for text in ("ALTER TABLE t DROP COLUMN a", "ALTER TABLE t DROP COLUMN v"):
+        with pytest.raises(StoreError):
+            session.sql(text)
+    session.sql("TRUNCATE TABLE t")
+    assert rows_in(session, "SELECT count(*) FROM t") == [(0,)]
