@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,40 @@ def arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+#: Folders of scratch tables, by the scopes that are open.
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(*tables: DataFrame | str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    spark = SparkSession.getActiveSession()
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The folders that are made inside; what the caller leaves in the list is deleted at the end."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        remove(*made)
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove
 
 #: Bits of the key that one level cuts by, and keys that one node holds at most, about.
 BITS, NODE_KEYS = 11, 4_000_000
@@ -187,7 +187,9 @@ def exchange(requests: DataFrame, tree: Tree, how: Merge, level: int = 0) -> Dat
     above = exchange(requests.groupBy("node").applyInArrow(forward, REQUEST), tree, how, level + 1)
     answers = above.where("child >= 0").groupBy("child")
     below = requests.groupBy("node").cogroup(answers).applyInArrow(back, REPLY)
-    return materialize(below.union(above.where("child = -1")), "replies")
+    out = materialize(below.union(above.where("child = -1")), "replies")
+    remove(requests, above)
+    return out
 
 
 def requests_of(groups: DataFrame, make: Callable[[bytes, int], Sequence[np.ndarray]], tree: Tree, raw: int) -> DataFrame:

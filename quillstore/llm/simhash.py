@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, words_of
+from .common import arrow_batches, materialize, remove, words_of
 
 RADIUS, BITS, SHINGLE, SEED = 4, 64, 4, 42
 #: Fingerprints that one side of a comparison task holds at most, about.
@@ -152,7 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        current = materialize(small.where("a <> b").distinct(), "edges")
+        old, current = current, materialize(small.where("a <> b").distinct(), "edges")
+        remove(old)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == (now["n"], now["s"]):
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -164,7 +165,9 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp"), radius))
     classes = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    heads = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = materialize(classes, "classes")
+    # Both sides of the join are read from tables, so that a root with very many fingerprints can be split over tasks.
+    heads = materialize(classes.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
     return classes.join(heads, "root").select("fp", "root", "component_id")
 
 
