@@ -2,6 +2,11 @@
 
 Each stage takes all rows its predecessor kept; all but the last return the columns of
 ``documents``, with ``n_chars`` following the text.
+
+Defined results of every stage: a null text is the empty text, which the rules reject; a
+null doc_id stays one and comes after all others; of equal rows near_duplicates keeps one,
+the other stages treat each; an empty table stays empty; other columns stay as they are,
+whatever their names; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -60,8 +65,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage made on the way, and its input, goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with common.scratch_scope() as made:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+            made.remove(docs.scratch_path)
+            made += before
+            before = [docs.scratch_path]
     return docs
