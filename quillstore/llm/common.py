@@ -7,6 +7,7 @@ handled as UTF-8 bytes.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -60,6 +61,16 @@ def remove(*tables: DataFrame | str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs once the driver's JVM collects what refers to them; after a large exchange that is now.
+
+    The session refers to the query it ran last, so another one, of one row, comes first.
+    """
+    spark.range(1).count()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch_scope() -> Iterator[list[str]]:
     """The folders that are made inside; what the caller leaves in the list is deleted at the end."""

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_bytes_of, packed_groups, unpack_table, word_hashes
-from .exchange import Tree, exchange, pack_columns, requests_of, stats_of, unpack_columns
+from .common import free_shuffles, mix, n_bytes_of, packed_groups, unpack_table, word_hashes
+from .exchange import KEY_BYTES, Tree, exchange, pack_columns, requests_of, stats_of, unpack_columns
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Roles of groups.
@@ -36,8 +36,6 @@ BUCKETS = 48
 #: Steps of the histogram's grid in one halving of a probability.
 GRID = 4
 ROUNDS = 60
-#: Least bytes of a word with the space after it, on average.
-WORD_BYTES = 6
 END = np.uint64(0x5DEECE66D1CE4E5B)
 ODD = np.uint64(1)
 
@@ -169,9 +167,9 @@ class Model:
 
     def __init__(self, groups: DataFrame, **shape: int):
         self.groups = groups
-        # A word gives two keys: its own, which few groups lack, and that of the pair.
-        self.tree, how = Tree.over(2 * n_bytes_of(groups) // WORD_BYTES, **shape), Counted()
+        self.tree, how = Tree.over(int(n_bytes_of(groups) / KEY_BYTES), **shape), Counted()
         self.replies = exchange(requests_of(groups, _columns, self.tree, how.raw), self.tree, how)
+        free_shuffles(groups.sparkSession)  # here nothing refers to the requests any more
         sums = stats_of(self.replies, STATS)
         self.vocabulary, self.tokens, tokens_learned = sums["vocabulary"], sums["tokens"], sums["tokens_learned"]
         self.weights = self._learn(sums["vocabulary_learned"], tokens_learned)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts that the estimate of cost and selectivity takes at most, the longest of them, the share of rows they are drawn from, and how often each is timed; it decides the order of rules only.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SHARE, SAMPLE_SEED, SAMPLE_TIMES = 512, 100_000, 0.05, 7, 4
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SHARE, SAMPLE_SEED, SAMPLE_TIMES = 256, 100_000, 0.05, 7, 4
 LEAST_SECONDS = 2.0**-8
 WINDOW = 5
 

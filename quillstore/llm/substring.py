@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_bytes_of, packed_groups, powers, unpack_table, word_hashes, words_of
-from .exchange import Tree, exchange, pack_columns, requests_of, unpack_columns
+from .common import free_shuffles, mix, n_bytes_of, packed_groups, powers, unpack_table, word_hashes, words_of
+from .exchange import KEY_BYTES, Tree, exchange, pack_columns, requests_of, unpack_columns
 
 K = 13
 LAST = np.iinfo(np.int64).max
 #: Odd factors of the two hashes, so multiplying loses nothing.
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Least bytes of a word with the space after it, on average.
-WORD_BYTES = 6
 
 
 def edge_keys(hashes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +163,13 @@ def _solve(edges: Edges, replies: pa.Table, tree: Tree, how: First, k: int) -> l
 
 def _exchange(docs: DataFrame, id_column: str, hashing: Hashing, **shape: int) -> tuple[DataFrame, DataFrame, Tree, First]:
     groups = packed_groups(docs)
-    tree, how = Tree.over(n_bytes_of(groups) // WORD_BYTES, **shape), First(hashing)
+    tree, how = Tree.over(int(n_bytes_of(groups) / KEY_BYTES), **shape), First(hashing)
 
     def make(data: pa.Buffer, role: int) -> Sequence[np.ndarray]:
         return Edges(unpack_table(data), hashing, id_column).columns()
 
     replies = exchange(requests_of(groups, make, tree, how.raw), tree, how).where("child >= 0")
+    free_shuffles(docs.sparkSession)  # here nothing refers to the requests any more
     return groups.select("gid", "docs"), replies.select(F.col("child").alias("gid"), "node", "n", "data"), tree, how
 
 
