@@ -104,7 +104,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     tables = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("mask", "value"))
     sizes = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["mask", "value"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    # Spark takes the exploded side for as small as what it is made from, and would send all its rows to the driver to broadcast it.
+    shared = keyed.hint("merge").join(sizes, ["mask", "value"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     shared = shared.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -141,17 +142,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star: both keep the components, and they end in
     stars.  Each round is a table in the shared folder; nothing is collected but counts.
+    The joins are left ones, so that Spark may broadcast a row for each node, never the edges.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least, "a", "left").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = large.where("a <> b").distinct()
         down = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = down.join(least, "a", "left").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         old, current = current, materialize(small.where("a <> b").distinct(), "edges")
         remove(old)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -168,14 +170,15 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
     classes = materialize(classes, "classes")
     # Both sides of the join are read from tables, so that a root with very many fingerprints can be split over tasks.
     heads = materialize(classes.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
-    return classes.join(heads, "root").select("fp", "root", "component_id")
+    return classes.join(heads, "root", "left").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
     prints = materialize(fingerprints(docs), "fingerprints")
     labelled = _classes(prints, radius).select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A left join: of very many copies the table of fingerprints is a small file, and Spark would broadcast its rows.
+    return prints.join(labelled, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -293,6 +293,14 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(m & errors == 0 for m in masks)
 
 
+def test_simhash_broadcasts_neither_rows_nor_their_buckets(spark, docs):
+    """The driver would hold what is broadcast; Spark takes exploded rows, and rows in small files, for little."""
+    plan = simhash.links(spark.range(1000).select(F.col("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [mask" in plan and "BroadcastHashJoin" not in plan
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [fp" in plan and "BuildLeft" not in plan
+
+
 def test_simhash_blocks_and_chains(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", 8)
     rng, fps = random.Random(4), []
