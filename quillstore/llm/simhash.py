@@ -191,7 +191,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     key = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(" "), text), F.lit(""))))
     prints = materialize(fingerprints(docs.withColumn("__key", key), "__key"), "fingerprints")
-    labelled = prints.join(_classes(prints, radius), "fp")
+    labelled = prints.join(_classes(prints, radius), "fp", "left")
     heads = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", F.col("__key").alias("key")).distinct()
     heads = materialize(heads, "heads")
     tied = heads.join(heads.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root")
@@ -200,4 +200,4 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         first = tied.join(texts, "key").groupBy("root").agg(F.min(F.struct("text", "key")).alias("least"))
         heads = heads.join(first, "root", "left").where("least IS NULL OR least.key = key")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    return boxed.groupBy("key").agg(F.first("row").alias("row")).join(heads.select("key"), "key", "left_semi").select("row.*")
+    return boxed.groupBy("key").agg(F.first("row").alias("row")).join(heads.select("key").hint("merge"), "key", "left_semi").select("row.*")

@@ -301,6 +301,11 @@ def test_simhash_broadcasts_neither_rows_nor_their_buckets(spark, docs):
     assert "Join [fp" in plan and "BuildLeft" not in plan
 
 
+def test_simhash_broadcasts_no_kept_keys(spark, docs):
+    plan = simhash.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_blocks_and_chains(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", 8)
     rng, fps = random.Random(4), []
