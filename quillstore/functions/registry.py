@@ -40,7 +40,7 @@ def define(names: str, least: int, most: int | None, build: Callable[..., str] |
     for name in names.split():
         if isinstance(build, str):
             template = build
-            fn = lambda *args, t=template: t.replace("{*}", ", ".join(args)).format(*args)
+            fn = lambda *args, t=template: t.replace("{*}", ", ".join(args).replace("{", "{{").replace("}", "}}")).format(*args)
         else:
             fn = build
         REGISTRY[name] = Function(name, least, most, fn)

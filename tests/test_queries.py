@@ -30,6 +30,11 @@ def test_addresses_of_larger_keys(spark, sf, tmp_path, step):
     assert against_sql_of_copy(spark, sf, tmp_path, "addresses", "part", f"p_partkey * {step} AS p_partkey") is None
 
 
+@pytest.mark.parametrize("columns", ["user_id * 2011 AS user_id", "ts + to_days(CAST(event_id % 3000 AS INTEGER)) AS ts", "user_id * 1000000007 AS user_id"])
+def test_time_texts_beyond_the_range_of_a_time(spark, sf, tmp_path, columns):
+    assert against_sql_of_copy(spark, sf, tmp_path, "time_texts", "events", columns) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
