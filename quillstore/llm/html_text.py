@@ -1,14 +1,21 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page becomes lines, one for each block of text, each with its evidence: inside an
-article element, inside an element that is chrome by name or class (menu, header,
+article or main element, inside an element that is chrome by name or class (menu, header,
 footer, sidebar, notice, advert, form, comments), or neither.  Each page is paired with
-the page nearest to it by URL path within its host; the two pages' lines outside articles
-are aligned by longest common subsequence, and lines that both pages share are deleted.
-Chrome is deleted whether shared or not: a page whose neighbour has other menus, or that
-has no neighbour, keeps none of it.  Lines inside an article stay although a copy of the
-article stands on the next page; where a page has no article, what is neither shared nor
-chrome is its text.
+the page nearest to it by URL path within its host; the two pages are aligned by longest
+common subsequence, an article element as one unit, every other line as its own, and what
+both pages share is marked.  Of what stands in article and main elements, shared units
+before the page's first own unit and behind its last go (teasers, trails, notices of the
+site), if the own units hold the most text; if not, the page is a copy or a version of its
+neighbour and keeps all.  Nothing goes from inside an article that is not chrome.  Where a
+page has neither element, what is neither shared nor chrome is its text; if nothing but
+chrome is its own, it is a copy or a part of its neighbour and keeps all but chrome.  Chrome
+is deleted whether shared or not: a page whose neighbour has other menus, or that has no
+neighbour, keeps none of it.
+
+So a page whose only marked element is one article gives that article, with or without a
+neighbour: differencing decides where the tags leave more than one reading.
 
 Only line hashes take part in pairing: the table of pages is sorted by (host, path), so
 a host with a third of all pages is spread over many tasks, and each page meets one
@@ -64,9 +71,15 @@ ARTICLE, OPEN, CHROME_LINE = 0, 1, 2
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
     """(text, evidence) of each block, in page order."""
+    return [(text, kind) for text, kind, _ in blocks_of(html)]
+
+
+def blocks_of(html: str | None) -> list[tuple[str, int, int]]:
+    """(text, evidence, article) of each block, in page order: article counts the page's outermost article elements, 0 outside them."""
     html, out, parts = html or "", [], []
     stack: list[str] = []
-    article = chrome = 0  # depth of the outermost open element of each kind, 0 if none
+    article = chrome = 0  # depth of the outermost open element of each kind (article or main), 0 if none
+    inside = articles = 0  # depth of the outermost open article element, and how many there were
     endless: set[str] = set()  # silent elements without an end tag from here on
 
     def evidence() -> int:
@@ -75,15 +88,17 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
     def flush() -> None:
         text = " ".join(html_lib.unescape("".join(parts)).split())
         if text:
-            out.append((text, evidence()))
+            out.append((text, evidence(), articles if inside else 0))
         parts.clear()
 
     def close(depth: int) -> None:
         """Close the elements from ``depth`` (counted from 1) on."""
-        nonlocal article, chrome
+        nonlocal article, chrome, inside
         del stack[depth - 1 :]
         if article >= depth:
             article = 0
+        if inside >= depth:
+            inside = 0
         if chrome >= depth:
             chrome = 0
 
@@ -125,6 +140,8 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
         depth = len(stack)
         if not article and name in ("article", "main"):
             article = depth
+        if not inside and name == "article":
+            inside, articles = depth, articles + 1
         if not chrome:
             marked = any(MARKS.search(value.strip("\"'")) for _, value in _ATTRIBUTE.findall(token.group(3))) if token.group(3) else False
             if name in CHROME or (name == "header" and not article) or (marked and name not in ("html", "body", "article", "main")):
@@ -221,22 +238,37 @@ def _table(x: list[int], y: list[int]) -> list[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, int]], deleted: set[int]) -> str:
-    """The article's lines, or without an article the lines that are neither chrome nor deleted."""
-    article = any(kind == ARTICLE for _, kind in lines)
-    outside = -1
-    kept = []
-    for text, kind in lines:
-        if kind != ARTICLE:
-            outside += 1
-        if kind == ARTICLE or (kind == OPEN and not article and outside not in deleted):
-            kept.append(text)
-    return " ".join(kept)
+def units(lines: list[tuple[str, int, int]]) -> list[list[int]]:
+    """Places of the lines of each unit that differencing decides on: an article element but for its chrome, any other line alone."""
+    out: list[list[int]] = []
+    articles: dict[int, list[int]] = {}
+    for i, (_, kind, article) in enumerate(lines):
+        if kind == ARTICLE and article in articles:
+            articles[article].append(i)
+            continue
+        out.append([i])
+        if kind == ARTICLE and article:
+            articles[article] = out[-1]
+    return out
+
+
+def main_text(lines: list[tuple[str, int, int]], shared: set[int]) -> str:
+    """The text of articles and main elements but for shared units around the page's own, or without such elements the lines that are neither chrome nor shared."""
+    parts = units(lines)
+    marked = [u for u, places in enumerate(parts) if lines[places[0]][1] == ARTICLE]
+    if not marked:
+        free = [u for u, places in enumerate(parts) if lines[places[0]][1] == OPEN]
+        return " ".join(lines[parts[u][0]][0] for u in [u for u in free if u not in shared] or free)
+    size = {u: sum(len(lines[i][0]) for i in parts[u]) for u in marked}
+    own = [u for u in marked if u not in shared]
+    if 2 * sum(size[u] for u in own) > sum(size.values()):
+        marked = [u for u in marked if own[0] <= u <= own[-1]]
+    return " ".join(lines[i][0] for i in sorted(i for u in marked for i in parts[u]))
 
 
-def line_hashes(lines: list[tuple[str, int]]) -> list[int]:
-    """Of the lines outside articles: those that differencing decides on."""
-    return [xxhash.xxh64_intdigest(text) - (1 << 63) for text, kind in lines if kind != ARTICLE]
+def line_hashes(lines: list[tuple[str, int, int]]) -> list[int]:
+    """Of all units of a page (no line holds a line feed)."""
+    return [xxhash.xxh64_intdigest("\n".join(lines[i][0] for i in places)) - (1 << 63) for places in units(lines)]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -261,7 +293,7 @@ def _depth(path: str, other: str) -> Column:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(key, own, other): line hashes of each distinct page and of the page nearest to it by path within its host.
+    """(key, own, other): hashes of the units of each distinct page and of the page nearest to it by path within its host.
 
     The sorted table is written, so places are settled; the nearest page is the one
     before or after, whichever shares more of the path, the one before if both share as much.
@@ -271,7 +303,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = [split_url(u) for u in batch.column(1).to_pylist()]
-            hashes = [line_hashes(lines_of(h)) for h in batch.column(2).to_pylist()]
+            hashes = [line_hashes(blocks_of(h)) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([u[0] for u in urls], pa.string()), pa.array([u[1] for u in urls], pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
                 ["key", "host", "path", "own"],
@@ -316,13 +348,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(shared_lines(own or [], other or [])) for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["key", "deleted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["key", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(lines_of(h), set(d or ())) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(blocks_of(h), set(d or ())) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    deleted = neighbours(rows).mapInArrow(difference, "key binary, deleted array<int>")
-    joined = rows.join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
+    shared = neighbours(rows).mapInArrow(difference, "key binary, shared array<int>")
+    joined = rows.join(shared, "key", "left").select("page_id", "url", "html", "shared")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -107,3 +107,33 @@ def test_the_nearest_page_shares_most_of_the_path(spark, monkeypatch):
     plain = html_text.neighbours
     monkeypatch.setattr(html_text, "neighbours", lambda pages: plain(pages).where("false"))
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {1: "Menu X x1", 2: "Menu Y y1", 3: "Menu Y y2", 4: "Menu Z z1"}
+
+
+def test_differencing_decides_on_pages_with_articles(spark, monkeypatch):
+    """Teasers and trails that the nearest page shares go from article and main elements; without differencing they stay."""
+    teaser = "<article><h3>Fair opens</h3><p>Read on</p></article>"
+    shell = "<body><nav>Home</nav><main><div>News &gt; Local</div>{}" + teaser + "<div>Back to top</div></main><footer>F</footer>"
+    one, two = (f"<article><h1>{x} things happened</h1><p>Summary</p><p>All of it is told here at length, of {x}.</p></article>" for x in "AB")
+    story, other = "A things happened Summary All of it is told here at length, of A.", "B things happened Summary All of it is told here at length, of B."
+    rows = [(1, "http://a.org/x/1", shell.format(one)), (2, "http://a.org/x/2", shell.format(two))]
+    recipe = "<main><div>Recipes</div><h1>{0} soup for many</h1><p>Ingredients</p><p>Take {0}, and water and salt.</p></main>"  # a shared line between own ones is text
+    rows += [(3, "http://b.org/1", recipe.format("leek")), (4, "http://b.org/2", recipe.format("pea"))]
+    rows += [(5, "http://c.org/1", shell.format(one)), (6, "http://c.org/1?ref=x", shell.format(one))]  # copies, and below versions: most of the text is shared
+    rows += [(7, "http://d.org/1", shell.format(one + two + "<article>Posted first</article>")), (8, "http://d.org/1/all", shell.format(one + two))]
+    rows += [(9, "http://e.org/1", shell.format(one))]
+    ends = ("News > Local ", " Fair opens Read on Back to top")
+    whole = {5: story, 6: story, 7: f"{story} {other} Posted first", 8: f"{story} {other}", 9: story}
+    want = {1: story, 2: other, 3: "leek soup for many Ingredients Take leek, and water and salt.", 4: "pea soup for many Ingredients Take pea, and water and salt."} | {i: ends[0] + t + ends[1] for i, t in whole.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
+    monkeypatch.setattr(html_text, "line_hashes", lambda lines: [])
+    alone = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert alone == want | {1: ends[0] + story + ends[1], 2: ends[0] + other + ends[1], 3: "Recipes " + want[3], 4: "Recipes " + want[4]}
+
+
+def test_copies_under_two_urls_keep_their_text(spark):
+    page = "<body><div>Menu</div><div>The story</div></body>"
+    rows = [(1, "http://a.org/1", page), (2, "http://a.org/1?utm_source=feed", page), (3, "http://b.org/1", page), (4, "http://b.org/2", page.replace("The", "Another"))]
+    rows += [(5, "http://c.org/1", page + "<nav>Up</nav>"), (6, "http://c.org/2", page + "<nav>Down</nav><p>Printed")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {1: "Menu The story", 2: "Menu The story", 3: "The story", 4: "Another story", 5: "Menu The story", 6: "Printed"}
